@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from modspark.functions.bind import once
+
 MAX_LENGTH = 60
 
 
@@ -68,20 +70,22 @@ def same_letters(a: Column, b: Column) -> Column:
 def fuzzy_similarity(token: Column, target: Column, threshold: float | None = None) -> Column:
     """Similarity when the pair matches under the length rules, else null."""
     lt, lg = F.length(token), F.length(target)
-    longest = F.greatest(lt, lg)
     limit = F.when(lg <= 6, 1).otherwise(2)
-    dist = bounded_distance(token, target, limit)
-    sim = 1.0 - dist / longest
-    enough = sim >= F.when(lg <= 6, threshold or 0.80).otherwise(threshold or 0.75)
+
+    def judged(dist: Column) -> Column:
+        sim = 1.0 - dist / F.greatest(lt, lg)
+        enough = sim >= F.when(lg <= 6, threshold or 0.80).otherwise(threshold or 0.75)
+        return F.when((dist <= limit) & (enough | ((lg <= 6) & same_letters(token, target))), sim)
+
     return (
         F.when(F.coalesce(F.least(lt, lg), F.lit(0)) == 0, F.lit(None).cast("double"))
         .when((lt < 4) | (lg < 4), F.when(token == target, F.lit(1.0)))
-        .when((dist <= limit) & (enough | ((lg <= 6) & same_letters(token, target))), sim)
+        .otherwise(once(bounded_distance(token, target, limit), judged))
     )
 
 
 def deletions(word: Column, depth: int) -> Column:
-    """The word and every word left after up to ``depth`` single deletions.
+    """The word and every word left after up to ``depth`` (0-2) single deletions.
 
     Two words within swap distance d share an entry of their depth-d lists, so an
     equality join on the entries finds every candidate pair.
@@ -92,9 +96,10 @@ def deletions(word: Column, depth: int) -> Column:
             lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))),
         )
 
-    words = F.array(word)
-    frontier = words
-    for _ in range(depth):
-        frontier = F.array_distinct(F.flatten(F.transform(F.filter(frontier, lambda w: F.length(w) > 1), drop_one)))
-        words = F.array_union(words, frontier)
-    return words
+    if depth == 0:
+        return F.array(word)
+    return once(
+        F.array_distinct(F.concat(F.array(word), drop_one(word))),
+        lambda shorter: shorter if depth == 1 else F.array_distinct(
+            F.concat(shorter, F.flatten(F.transform(shorter, drop_one)))),
+    )

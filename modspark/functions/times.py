@@ -10,8 +10,16 @@ _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def micros(name: str) -> Column:
-    """Microseconds since the epoch of a timestamp column (with or without zone)."""
-    return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, cast({name} as timestamp_ntz))")
+    """Microseconds since the epoch of a timestamp column (with or without zone).
+
+    Taken from the parts of an interval between zoneless times: a difference in units
+    would pass through the session zone and its clock changes.
+    """
+    since = f"(cast({name} as timestamp_ntz) - {_EPOCH})"
+    return F.expr(
+        f"extract(DAY FROM {since}) * 86400000000L + extract(HOUR FROM {since}) * 3600000000L"
+        f" + extract(MINUTE FROM {since}) * 60000000L + cast(extract(SECOND FROM {since}) * 1000000 as bigint)"
+    )
 
 
 def from_micros(name: str) -> Column:

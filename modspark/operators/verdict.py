@@ -185,12 +185,16 @@ def fuzzy_pairs(words: DataFrame, terms: DataFrame) -> DataFrame:
 
     size, target = F.length("token"), F.length("term")
     terms = terms.where((target >= 4) & (target <= D.MAX_LENGTH))
-    longest = terms.agg(F.max(target).alias("longest"))
-    words = words.where(size >= 4).crossJoin(longest).where(size <= F.col("longest") + 2).drop("longest")
+    longest = terms.agg(F.max(target)).first()[0] or 0
+    spark = words.sparkSession
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # A vocabulary is few bytes but much work: an explicit width keeps Spark from
+    # gathering it into one task.
+    words = words.where(size.between(4, longest + 2)).distinct().repartition(width)
     left = keyed(words, "token", size <= 7, size >= 5)
     right = keyed(terms, "term", target <= 6, target > 6)
     pairs = left.join(right, ["depth", "part"]).select("token", *terms.columns).distinct()
-    return pairs.withColumn("sim", D.fuzzy_similarity(F.col("token"), F.col("term"))).where(F.col("sim") >= 0.75)
+    return settle(pairs, sim=D.fuzzy_similarity(F.col("token"), F.col("term"))).where(F.col("sim") >= 0.75)
 
 
 def fuzzy_layer(docs: DataFrame, key: str, lex: L.Lexicon, disabled: tuple[str, ...] = ()) -> DataFrame:
@@ -204,7 +208,7 @@ def fuzzy_layer(docs: DataFrame, key: str, lex: L.Lexicon, disabled: tuple[str,
         "ord int, term string, category string, severity string")
     seen = docs.select(key, F.posexplode("tokens").alias("pos", "token")).withColumn("token", F.lower("token"))
     seen = seen.where((F.length("token") >= 4) & ~F.col("token").isin(*lex.allowed, ""))
-    best = fuzzy_pairs(seen.select("token").distinct(), terms).groupBy("token").agg(
+    best = fuzzy_pairs(seen.select("token"), terms).groupBy("token").agg(
         F.min(F.struct("ord", "term", "category", "severity", "sim")).alias("best"))
     number, rule, _ = L.LAYERS["fuzzy"]
     hit = F.struct(
