@@ -130,13 +130,11 @@ def tokens(c: Column) -> Column:
 
 def char_ngrams(c: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """Distinct character n-grams."""
-    grams = [
-        F.when(
-            F.length(c) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i, n=n: F.substring(c, i, F.lit(n))),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in sizes
-    ]
+    def of(n: int) -> Column:
+        cuts = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
+        return F.when(F.length(c) >= n, cuts).otherwise(F.array().cast("array<string>"))
+
+    grams = [of(n) for n in sizes]
     return F.array_distinct(F.concat(*grams))
 
 

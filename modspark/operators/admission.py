@@ -101,9 +101,10 @@ def _chain(wait: int, closed: bool):
     """Per key: walk its slices in order over the small entry/exit tables and note the
     last accepted time before each slice."""
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [c for c in pdf.columns if c not in ("slice", "reach_us", "exit_us")]
+        keys = [c for c in pdf.columns if c not in ("slice", "hangs", "reach_us", "exit_us")]
         last, out = None, []
         for number, part in pdf.sort_values(["slice", "reach_us"]).groupby("slice", sort=True):
+            last = last if part["hangs"].iloc[0] else None
             out.append((number, last))
             ready = None if last is None else last + wait + (0 if closed else 1)
             for reach, leave in zip(part["reach_us"], part["exit_us"]):
@@ -134,46 +135,39 @@ def cooldown(df: DataFrame, keys: list[str], order: str, wait: int, closed: bool
     cut = df.withColumn("slice", F.floor(F.col("us") / F.lit(width)).cast("bigint"))
     types = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    points = cut.groupBy(*keys, "slice", "us").agg(F.min(order).alias(order))
-    quiet = points.groupBy(*keys).agg(F.countDistinct("slice").alias("n_slices"))
-    shared = points.drop(order).join(quiet.where("n_slices > 1").drop("n_slices"), keys, "left_semi")
+    points = cut.groupBy(*keys, "slice", "us").agg(F.min(order).alias("first_id"))
+    lines = points.groupBy(*keys, "slice").agg(F.sort_array(F.collect_list(F.struct("us", "first_id"))).alias("line"))
+
+    # A slice whose first row comes ``wait`` after the row before it starts afresh; only
+    # the others, and the slices they hang on, need step tables.
+    edges = lines.select(*keys, "slice", F.col("line")[0]["us"].alias("opens"), F.element_at("line", -1)["us"].alias("closes"))
+    by_key = W.partitionBy(*keys).orderBy("slice")
+    tight = F.col("opens") - F.lag("closes").over(by_key) < (F.lit(wait) if closed else F.lit(wait + 1))
+    linked = edges.withColumn("hangs", F.coalesce(tight, F.lit(False)))
+    linked = linked.withColumn("holds", F.coalesce(F.lead("hangs").over(by_key), F.lit(False))).where("hangs or holds")
+    shared = points.select(*keys, "slice", "us").join(linked.select(*keys, "slice", "hangs"), [*keys, "slice"])
     tables = shared.withColumn("width", F.lit(width)).groupBy(*keys, "slice").applyInPandas(
-        _exits(wait, closed), f"{key_ddl}, slice bigint, reach_us bigint, exit_us bigint")
+        _exits(wait, closed), f"{key_ddl}, slice bigint, hangs boolean, reach_us bigint, exit_us bigint")
     before = tables.groupBy(*keys).applyInPandas(_chain(wait, closed), f"{key_ddl}, slice bigint, before_us bigint")
 
     gap = F.lit(wait) if closed else F.lit(wait + 1)
 
-    def step(acc: Column, t: Column) -> Column:
-        free = acc["last"].isNull() | (t >= acc["last"] + gap)
-        return F.struct(
-            F.when(free, t).otherwise(acc["last"]).alias("last"),
-            F.when(free, F.concat(acc["taken"], F.array(t))).otherwise(acc["taken"]).alias("taken"))
-
-    start = F.struct(F.col("before_us").alias("last"), F.array().cast("array<bigint>").alias("taken"))
-    taken = (
-        points.groupBy(*keys, "slice").agg(F.sort_array(F.collect_list("us")).alias("line"))
-        .join(before, [*keys, "slice"], "left")
-        .select(*keys, "slice", "before_us", F.aggregate("line", start, step, lambda a: a["taken"]).alias("taken"))
-    )
-    accepted = taken.select(*keys, F.explode("taken").alias("us")).join(points.select(*keys, "us", order), [*keys, "us"])
-    marked = cut.join(accepted.select(order, F.lit(True).alias("accepted")), order, "left").withColumn(
-        "accepted", F.coalesce("accepted", F.lit(False)))
-    last = marked.where("accepted").select(*keys, "us", order, "slice").withColumn("own", F.lit(False)).withColumn(
-        "last_us", F.col("us"))
-    return _with_last_accepted(marked, last, keys, order, wait)
-
-
-def _with_last_accepted(marked: DataFrame, last: DataFrame, keys: list[str], order: str, wait: int) -> DataFrame:
-    """The accepted time a rejected row has to wait for: at most ``wait`` back, so in its
-    own slice or lent from the one before."""
-    lent = L.latest(last, [*keys, "slice"], F.col("us")).withColumn("slice", F.col("slice") + 1)
-    both = marked.withColumn("own", F.lit(True)).withColumn("last_us", F.when(F.col("accepted"), F.col("us"))).unionByName(
-        lent, allowMissingColumns=True)
-    line = W.partitionBy(*keys, "slice").orderBy("us", F.col("own"), F.coalesce("accepted", F.lit(True)).desc(), order).rowsBetween(
-        W.unboundedPreceding, 0)
-    rest = F.lit(wait) - (F.col("us") - F.last("last_us", ignorenulls=True).over(line))
-    return both.withColumn("wait_s", F.floor(rest / F.lit(SECOND)).cast("bigint") + 1).where("own").withColumn(
-        "wait_s", F.when(~F.col("accepted"), F.col("wait_s"))).drop("own", "slice", "last_us")
+    def step(acc: Column, point: Column) -> Column:
+        free = acc["last"].isNull() | (point["us"] >= acc["last"] + gap)
+        told = F.struct(point["us"].alias("us"), point["first_id"].alias("first_id"), free.alias("taken"),
+                        acc["last"].alias("last_us"))
+        return F.struct(F.when(free, point["us"]).otherwise(acc["last"]).alias("last"),
+                        F.concat(acc["out"], F.array(told)).alias("out"))
+
+    told_type = f"array<struct<us:bigint,first_id:{types[order]},taken:boolean,last_us:bigint>>"
+    start = F.struct(F.col("before_us").alias("last"), F.array().cast(told_type).alias("out"))
+    told = lines.join(before, [*keys, "slice"], "left").select(
+        *keys, F.inline(F.aggregate("line", start, step, lambda a: a["out"])))
+    own = F.col("taken") & (F.col(order) == F.col("first_id"))
+    rest = F.lit(wait) - (F.col("us") - F.when(F.col("taken"), F.col("us")).otherwise(F.col("last_us")))
+    return cut.join(told, [*keys, "us"]).withColumn("accepted", own).withColumn(
+        "wait_s", F.when(~own, F.floor(rest / F.lit(SECOND)).cast("bigint") + 1)
+    ).drop("slice", "first_id", "taken", "last_us")
 
 
 # --- lockout ------------------------------------------------------------------------
