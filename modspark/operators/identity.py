@@ -86,7 +86,8 @@ def register(batch: DataFrame, students: DataFrame, banned: DataFrame, blind_key
                           "number", high_water_mark(students, "anonymous_id", FIRST_NUMBER - 1)).drop("first_ts")
 
     def sealed(name: str) -> Column:
-        return F.when(F.coalesce(name, F.lit("")) != "", K.encrypt(F.col(name), seal_key))
+        text = F.col(name).cast("string")
+        return F.when(F.coalesce(text, F.lit("")) != "", K.encrypt(text, seal_key))
 
     touched = students.join(last, "user_hash", "full").join(numbers, "user_hash", "left")
     merged = touched.select(

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modspark.operators.timeline import latest
+from modspark.operators.timeline import earliest, latest
 
 
 def both_kinds(posts: DataFrame, replies: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[s
 
 def insert_if_absent(target: DataFrame, source: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """Known keys stay; of several new rows per key the first by ``order`` enters."""
-    one = latest(source, keys, *[-o for o in order]) if order else source.dropDuplicates(keys)
+    one = earliest(source, keys, *order) if order else source.dropDuplicates(keys)
     return target.unionByName(one.join(target.select(*keys), keys, "left_anti").select(*target.columns))
 
 

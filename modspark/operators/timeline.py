@@ -100,5 +100,14 @@ def carry_total(df: DataFrame, keys: list[str], order: str, value: Column, name:
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key, the last by ``order``; pruned before the shuffle."""
-    w = W.partitionBy(*keys).orderBy(*[o.desc() for o in order])
+    return _first_of(df, keys, [o.desc() for o in order])
+
+
+def earliest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """One row per key, the first by ``order``."""
+    return _first_of(df, keys, [o.asc() for o in order])
+
+
+def _first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from modspark.plans import text_queries, text_sql
+from modspark.plans import account_queries, text_queries, text_sql
 
-QUERIES = {**text_queries.QUERIES}
-SQL = {**text_sql.SQL}
+QUERIES = {**text_queries.QUERIES, **account_queries.QUERIES}
+SQL = {**text_sql.SQL, **account_queries.SQL}
