@@ -55,12 +55,12 @@ def strikes(df: DataFrame, user: str, order: str, span: int = 900 * SECOND) -> D
     seen = L.with_recent(df, [user], order, 3, span)
     level = F.least(F.lit(4), F.size("recent") + 1)
     # Minutes of the two automatic mutes.
-    minutes = F.when(level == 3, 15).when(level == 4, 120)
+    minutes = F.when(level == 3, 15).when(level == 4, 120).cast("bigint")
     return (
         seen.withColumn("strike", level)
         .withColumn("penalty", F.when(level == 1, "none").when(level == 2, "warning").when(level == 3, "AUTO_MUTE")
                     .otherwise("AUTO_MUTE_EXTENDED"))
-        .withColumn("mute_minutes", minutes)
+        .withColumn("mute_minutes", minutes.cast("int"))
         .withColumn("muted_until_us", F.col("us") + minutes * (60 * SECOND))
         .withColumn("muted_until", from_micros("muted_until_us"))
         .drop("recent", "muted_until_us")
@@ -212,7 +212,7 @@ def mute_timeline(actions: DataFrame, user: str, order: str, width: int = 24 * H
     """Mute intervals; each action of the user replaces what was in force.  ``actions``
     has us, minutes (null for an unmute)."""
     line = L.carry_next(actions, [user], order, F.col("us"), "next_us", width)
-    end = F.col("us") + F.col("minutes") * (60 * SECOND)
+    end = F.col("us") + F.col("minutes").cast("bigint") * (60 * SECOND)
     return line.where(F.col("minutes").isNotNull()).withColumn("start_us", F.col("us")).withColumn(
         "end_us", F.least(end, F.coalesce("next_us", end))).drop("next_us")
 
@@ -221,7 +221,7 @@ def muted_at(messages: DataFrame, actions: DataFrame, user: str, order: str, wid
     """Was the user muted when the message came?  The last action up to then decides;
     an action of the same time as the message counts first."""
     told = actions.select(user, "us", F.lit(None).cast("bigint").alias("message"), F.struct(
-        (F.col("us") + F.col("minutes") * (60 * SECOND)).alias("until_us")).alias("state"))
+        (F.col("us") + F.col("minutes").cast("bigint") * (60 * SECOND)).alias("until_us")).alias("state"))
     asked = messages.select(user, "us", F.col(order).alias("message"), F.lit(None).cast("struct<until_us:bigint>").alias("state"))
     line = told.unionByName(asked).withColumn("seq", F.coalesce("message", F.lit(-1)))
     state = L.carry_last(line, [user], "seq", F.col("state"), "in_force", width)

@@ -33,6 +33,10 @@ READABLE = (".txt", ".docx", ".xlsx", ".xlsm", ".pptx", ".pdf")
 MAX_ENTRIES, MAX_INFLATED, MAX_SIDE = 100, 50 * MB, 8192
 
 
+# The upper half of a byte read as latin-1, and what it means in cp1256.
+_CP1256 = (bytes(range(128, 256)).decode("latin-1"), bytes(range(128, 256)).decode("cp1256"))
+
+
 def _starts(content: Column, *heads: str) -> Column:
     return reduce(lambda a, b: a | b, [F.startswith(content, F.unhex(F.lit(h))) for h in heads])
 
@@ -114,14 +118,14 @@ def package_text(entries: DataFrame) -> DataFrame:
 
 
 def plain_text(content: Column) -> Column:
-    """M7: struct(text, finding): utf-8, else cp1256, else latin-1; zero bytes in the
+    """M7: struct(text, finding): utf-8, else cp1256; zero bytes in the
     first 256 are a finding.  The whole text is decoded."""
     start = F.substring(content, 1, 256)
     binary = F.exists(F.sequence(F.lit(1), F.greatest(F.length(start), F.lit(1))),
                       lambda i: F.hex(F.substring(start, i, F.lit(1))) == "00")
     utf8 = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
-    # cp1256 assigns every byte, so it never fails; latin-1 stays as the last resort.
-    text = F.coalesce(utf8, F.decode(content, "windows-1256"), F.decode(content, "ISO-8859-1"))
+    # cp1256 assigns every byte, so it never fails and latin-1 is not needed after it.
+    text = F.coalesce(utf8, F.translate(F.decode(content, "ISO-8859-1"), *_CP1256))
     return F.struct(F.when(~binary, text).alias("text"),
                     F.when(binary, "binary zero bytes in plain text").alias("finding"))
 

@@ -85,10 +85,11 @@ def quota_rule(limit: int, bucket: int = HOUR) -> Decision:
     return decide
 
 
-def cooldown_rule(wait: int) -> Decision:
-    """ST3: time of the last accepted message."""
+def cooldown_rule(wait: int, closed: bool = True) -> Decision:
+    """ST3: time of the last accepted message.  With ``closed=False`` on a content
+    fingerprint this is ST5: a copy within ``wait`` of a kept message is a duplicate."""
     def decide(state, us, _):
-        if state and us - state[0] < wait:
+        if state and (us - state[0] < wait if closed else us - state[0] <= wait):
             return state, (False, (wait - (us - state[0])) // SECOND + 1)
         return [us], (True, None)
     return decide
@@ -127,12 +128,6 @@ def hourly_totals(messages: DataFrame, user: str, ts: str = "ts", late: str = "1
     return timed.withWatermark("at", late).groupBy(F.window("at", "1 hour"), user).agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_copies(messages: DataFrame, fingerprint: list[str], ts: str = "ts", span: str = "300 seconds") -> DataFrame:
-    """ST5: copies that come within ``span`` of a kept one are dropped."""
-    timed = messages.withColumn("at", F.col(ts).cast("timestamp"))
-    return timed.withWatermark("at", span).dropDuplicatesWithinWatermark(fingerprint)
-
-
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drive a stream over all available input into files of the shared folder."""
     spark = stream.sparkSession
