@@ -243,8 +243,8 @@ def stream_lockout(spark, sf):
     return out.select(F.col("id").alias("event_id"), "outcome")
 
 
-@query("""select user_id, date_trunc('hour', ts) as hour, count(*) as n from events group by all
-  having date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 10 minutes from events)""")
+@query("""select * from (select user_id, date_trunc('hour', ts) as hour, count(*) as n from events group by 1, 2)
+  where hour + interval 1 hour <= (select max(ts) - interval 10 minutes from events)""")
 def stream_hourly_totals(spark, sf):
     """ST1: closed hours only, as the watermark passes them."""
     out = S.run_once(S.hourly_totals(read_messages(spark, f"{sf}/events.parquet"), "user_id"), "totals")
