@@ -20,6 +20,7 @@ from modspark.functions import text as T
 from modspark.functions.bind import once
 
 CHUNK = 2000
+FEW = 48
 MAX_TERMS = 200_000
 
 HIT = ("struct<layer:int,variant:int,ord:int,rule_id:string,category:string,severity:string,"
@@ -191,7 +192,18 @@ def might_hit(entries: list[Row], texts: Column) -> Column:
     words = sorted({w for e in entries for w in (e.squeezed, _collapse(e.squeezed)) if w})
     if any(not e.squeezed for e in entries):
         return F.lit(True)
-    return texts.rlike(any_of(words)) if words else F.lit(False)
+    return holds_any(texts, words)
+
+
+def holds_any(texts: Column, words: list[str]) -> Column:
+    """Does the text hold any of the words?  A few words are plain substring scans; many
+    are one shared pattern."""
+    least = [w for w in words if not any(v != w and v in w for v in words)] if len(words) <= FEW else words
+    if not least:
+        return F.lit(False)
+    if len(least) > FEW:
+        return texts.rlike(any_of(words))
+    return reduce(lambda a, b: a | b, [F.contains(texts, F.lit(w)) for w in least])
 
 
 def listed(lex: Lexicon) -> list[Row]:
@@ -283,9 +295,9 @@ def quick_hits(lex: Lexicon, text: Column, hard: tuple[str, ...] = ()) -> Column
         return _none()
     hard_words = [e.folded for e in entries if e.term in hard and len(e.folded) >= 4]
     joined = F.replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]+", ""), F.lit(" "), F.lit(""))
-    maybe = F.lower(text).rlike(any_of(sorted({e.folded for e in entries})))
+    maybe = holds_any(F.lower(text), sorted({e.folded for e in entries}))
     if hard_words:
-        maybe = maybe | joined.rlike(any_of(sorted(hard_words)))
+        maybe = maybe | holds_any(joined, sorted(hard_words))
     hard_set = F.array(*[F.lit(w) for w in hard_words]).cast("array<string>")
 
     def matches(views: Column):

@@ -83,6 +83,8 @@ def test_random_streams_match_a_simulation(spark, seed):
     check(A.hourly_quota(df, "user", "id", 5, 100 * SECOND), ["quota_ok", "quota_count"], S.quota_rule(5, 100 * SECOND))
     check(A.cooldown(df, ["user"], "id", wait), ["accepted", "wait_s"], S.cooldown_rule(wait))
     check(A.cooldown(df, ["user"], "id", wait, closed=False, slice_waits=2), ["accepted"], S.cooldown_rule(wait, closed=False))
+    check(A.cooldown(df, ["user"], "id", wait, small=3), ["accepted", "wait_s"], S.cooldown_rule(wait))
+    check(A.cooldown(df, ["user"], "id", wait, closed=False, small=0), ["accepted", "wait_s"], S.cooldown_rule(wait, closed=False))
     check(A.strikes(df, "user", "id", span), ["strike", "mute_minutes"], S.strike_rule(span))
     check(A.lockout(df, "user", "id", "flag", 3, span), ["outcome"], S.lockout_rule(3, span))
 
