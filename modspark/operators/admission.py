@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from modspark.durable import cut
 from modspark.functions.times import SECOND, from_micros
 from modspark.operators import timeline as L
 
@@ -38,11 +39,11 @@ def hourly_quota(df: DataFrame, user: str, order: str, limit: int, bucket: int =
     Only the first ``limit`` rows of each group are ever ranked (Spark drops the rest
     before the shuffle); the others are told apart by a join on their own id.
     """
-    cut = df.withColumn("bucket", F.floor(F.col("us") / F.lit(bucket)).cast("bigint"))
+    hourly = df.withColumn("bucket", F.floor(F.col("us") / F.lit(bucket)).cast("bigint"))
     first = W.partitionBy(user, "bucket").orderBy("us", order)
-    passed = cut.select(user, "bucket", "us", order).withColumn("rank", F.row_number().over(first)).where(
+    passed = hourly.select(user, "bucket", "us", order).withColumn("rank", F.row_number().over(first)).where(
         F.col("rank") <= limit).select(order, "rank")
-    return cut.join(passed, order, "left").withColumns({
+    return hourly.join(passed, order, "left").withColumns({
         "quota_ok": F.col("rank").isNotNull(),
         "quota_count": F.coalesce("rank", F.lit(limit)),
     }).drop("rank", "bucket")
@@ -129,11 +130,11 @@ def cooldown(df: DataFrame, keys: list[str], order: str, wait: int, closed: bool
     more crowded ones are handled as columns of numbers.
     """
     width = wait * slice_waits
-    cut = df.withColumn("slice", F.floor(F.col("us") / F.lit(width)).cast("bigint"))
-    types = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
+    sliced = df.withColumn("slice", F.floor(F.col("us") / F.lit(width)).cast("bigint"))
+    types = {f.name: f.dataType.simpleString() for f in sliced.schema.fields}
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
     gap = F.lit(wait) if closed else F.lit(wait + 1)
-    points = cut.groupBy(*keys, "slice", "us").agg(F.min(order).alias("first_id"))
+    points = sliced.groupBy(*keys, "slice", "us").agg(F.min(order).alias("first_id"))
     sizes = points.groupBy(*keys, "slice").agg(
         F.count(F.lit(1)).alias("size"), F.min("us").alias("opens"), F.max("us").alias("closes"))
     crowded = points.join(sizes.where(F.col("size") > small).select(*keys, "slice"), [*keys, "slice"])
@@ -182,7 +183,7 @@ def cooldown(df: DataFrame, keys: list[str], order: str, wait: int, closed: bool
         _big_decide(wait, closed), f"{key_ddl}, us bigint, first_id {types[order]}, taken boolean, last_us bigint"))
     own = F.col("taken") & (F.col(order) == F.col("first_id"))
     rest = F.lit(wait) - (F.col("us") - F.when(F.col("taken"), F.col("us")).otherwise(F.col("last_us")))
-    return cut.join(told, [*keys, "us"]).withColumn("accepted", own).withColumn(
+    return sliced.join(told, [*keys, "us"]).withColumn("accepted", own).withColumn(
         "wait_s", F.when(~own, F.floor(rest / F.lit(SECOND)).cast("bigint") + 1)
     ).drop("slice", "first_id", "taken", "last_us")
 
@@ -200,7 +201,7 @@ def lockout(df: DataFrame, user: str, order: str, success: str, limit: int = 5,
     its length in time, not by the rows of the user.
     """
     slice_span = slice_span or span * 16
-    prev = L.with_recent(df, [user], order, 1, span - 1, slices=1)
+    prev = L.with_recent(df, [user], order, 1, span - 1)
     opened = prev.withColumn("opens", F.when(F.size("recent") == 0, F.col("us"))).drop("recent")
     runs = L.carry_last(opened, [user], order, F.col("opens"), "run_us", slice_span).drop("opens")
 
@@ -299,10 +300,12 @@ def admit(messages: DataFrame, user: str, order: str, *, flood_fast=(3, 6 * SECO
         ("unsupported", ~F.col("supported")),
         ("too_long", F.col("n_chars") > max_length),
     ])
-    checked = checked.withColumn("early", early).drop("flood", "is_member", "is_banned", "muted_until_us")
+    # Written once: the later stages read it several times.
+    checked = cut(checked.withColumn("early", early).drop("flood", "is_member", "is_banned", "muted_until_us"))
     open_ = checked.where(F.col("early").isNull())
     # Rejected duplicates are not recorded, hence the cooldown form.
-    fresh = cooldown(open_.select(*fingerprint, "us", order, user), fingerprint, order, duplicate_span, closed=False)
+    fresh = cut(cooldown(open_.select(*fingerprint, "us", order, user), fingerprint, order, duplicate_span, closed=False).select(
+        user, "us", order, "accepted"))
     counted = hourly_quota(fresh.where("accepted").select(user, "us", order), user, order, quota)
     late = fresh.select(order, "accepted").join(counted.select(order, "quota_ok"), order, "left")
     return checked.join(late, order, "left").withColumn("reject_reason", F.coalesce(

@@ -20,7 +20,7 @@ def with_micros(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn("us", micros(ts))
 
 
-def with_recent(df: DataFrame, keys: list[str], order: str, depth: int, span: int, slices: int = 16) -> DataFrame:
+def with_recent(df: DataFrame, keys: list[str], order: str, depth: int, span: int, slices: int = 1) -> DataFrame:
     """Add ``recent``: times (column ``us``) of the up to ``depth`` preceding rows of
     the key that are at most ``span`` microseconds old, newest first.
 
