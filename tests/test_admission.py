@@ -87,6 +87,7 @@ def test_random_streams_match_a_simulation(spark, seed):
     check(A.cooldown(df, ["user"], "id", wait, closed=False, small=0), ["accepted", "wait_s"], S.cooldown_rule(wait, closed=False))
     check(A.strikes(df, "user", "id", span), ["strike", "mute_minutes"], S.strike_rule(span))
     check(A.lockout(df, "user", "id", "flag", 3, span), ["outcome"], S.lockout_rule(3, span))
+    check(A.lockout(df, "user", "id", "flag", 3, span, small=5, part=400), ["outcome"], S.lockout_rule(3, span))
 
 
 def test_order_of_input_does_not_matter(spark):
