@@ -8,6 +8,7 @@ simply more chunks.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -145,15 +146,16 @@ def any_of(words: list[str]) -> str:
     return "(?=[" + "".join(re.escape(c) for c in sorted(tree)) + "])" + render(tree)
 
 
-def _literal_entries(entries: list[Row]) -> Column:
-    return F.array(*[
-        F.struct(
-            F.lit(e.ord).alias("ord"), F.lit(e.term).alias("term"), F.lit(e.folded).alias("folded"),
-            F.lit(e.collapsed).alias("collapsed"), F.lit(e.kind).alias("kind"),
-            F.lit(e.category).alias("category"), F.lit(e.severity).alias("severity"),
-        )
-        for e in entries
-    ])
+ENTRY = ("array<struct<ord:int,term:string,folded:string,collapsed:string,kind:string,category:string,"
+         "severity:string,pattern:string>>")
+
+
+def _literal_entries(entries: list[Row], pattern=None) -> Column:
+    """Entries as one constant: Spark folds the parsed text into a literal when planning,
+    so a long list costs one expression, not one per field."""
+    fields = ("ord", "term", "folded", "collapsed", "kind", "category", "severity")
+    rows = [{**{f: e[f] for f in fields}, **({"pattern": pattern(e.folded)} if pattern else {})} for e in entries]
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), ENTRY)
 
 
 def _hit(layer: str, e: Column, item: Column, variant: Column | int = 0) -> Column:
@@ -377,12 +379,7 @@ def pattern_hits(layer: str, entries: list[Row], pattern, any_pattern: str, form
     if not entries:
         return _none()
     texts = F.array(*[F.col(f) for f in forms])
-    lits = F.array(*[
-        F.struct(F.lit(e.ord).alias("ord"), F.lit(e.term).alias("term"), F.lit(e.folded).alias("folded"),
-                 F.lit(e.category).alias("category"), F.lit(e.severity).alias("severity"),
-                 F.lit(pattern(e.folded)).alias("pattern"))
-        for e in entries
-    ])
+    lits = _literal_entries(entries, pattern)
     hits = F.flatten(F.transform(texts, lambda text, at: F.transform(
         lits, lambda e: _hit(layer, e, F.call_function("regexp_extract", text, e["pattern"], F.lit(1)), at))))
     somewhere = F.exists(F.array_distinct(texts), lambda text: text.rlike(any_pattern))

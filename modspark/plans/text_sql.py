@@ -251,6 +251,43 @@ def _fuzzy(terms: tuple[str, ...]) -> str:
         and (1.0 - d::double / greatest(length(token), length(term)) >= 0.8 or list_sort(string_split(token, '')) = list_sort(string_split(term, '')))"""
 
 
+def _close(token: str, term: str) -> str:
+    """Distance in characters: one byte stands for any letter outside ASCII, which no term holds."""
+    return f"damerau_levenshtein(regexp_replace({token}, '[^\\x00-\\x7f]', chr(1), 'g'), {term})"
+
+
+def _fuzzy_long(terms: tuple[str, ...]) -> str:
+    values = ", ".join(f"({lit(t)})" for t in terms)
+    return f"""with w as (select distinct t as token from (select unnest({words('lower(text)')}) as t from documents)),
+      p as (select token, term, {_close('token', 'term')} as d from w, (values {values}) v(term)
+        where length(token) >= 4 and abs(length(token) - length(term)) <= 2)
+      select token, term, round(1.0 - d::double / greatest(length(token), length(term)), 6) as sim from p
+        where d <= 2 and 1.0 - d::double / greatest(length(token), length(term)) >= 0.75"""
+
+
+def fuzzy_verdicts() -> str:
+    """The verdicts with layer 8 for messages nothing else decided."""
+    terms = ", ".join(f"({i}, {lit(t)}, {lit(c)}, {lit(s)})" for i, (t, c, s, _, _, fuzzy, _) in enumerate(L.DEMO_TERMS) if fuzzy)
+    allowed = ", ".join(lit(a) for a in L.DEMO_ALLOWED)
+    return f"""with {verdicts()},
+      z(ord, term, category, severity) as (values {terms}),
+      every as (select k, list_concat(list_concat({words('folded')}, {words('leet')}), list_concat({words('latin_arabic')}, {words('lower(homoglyphs)')})) as ts from bundle),
+      u as (select k, lower(unnest(ts)) as t, unnest(range(len(ts))) as p from every),
+      d as (select distinct t from u where length(t) >= 4 and t not in ({allowed})),
+      x as (select t, z.*, {_close('t', 'term')} as dist, greatest(length(t), length(term)) as longest, case when length(term) <= 6 then 1 else 2 end as most
+        from d, z where abs(length(t) - length(term)) <= 2),
+      m as (select *, 1.0 - dist::double / longest as sim from x where dist <= most and (1.0 - dist::double / longest >= case when most = 1 then 0.8 else 0.75 end
+        or (most = 1 and list_sort(string_split(t, '')) = list_sort(string_split(term, '')))) and 1.0 - dist::double / longest >= 0.75),
+      f as (select u.k, m.*, row_number() over (partition by u.k order by u.p, m.ord) as rn from u join m using (t))
+      select v.k as doc_id, v.is_allowed and f.k is null as is_allowed, case when v.is_allowed and f.k is null then 'ALLOW' else 'BLOCK' end as action,
+        case when v.is_allowed and f.k is not null then f.category else v.category end as category,
+        case when v.is_allowed and f.k is not null then f.severity else v.severity end as severity,
+        case when v.is_allowed and f.k is not null then round(f.sim, 2) else v.confidence end as confidence,
+        case when v.is_allowed and f.k is not null then 'RULE_BOUNDED_FUZZY' else v.rule_id end as rule_id,
+        case when v.is_allowed and f.k is not null then f.term else v.item end as item
+      from verdicts v left join f on f.k = v.k and f.rn = 1"""
+
+
 def custom_lexicon() -> str:
     base = lexicon_values()
     n = len(L.DEMO_TERMS)
@@ -320,6 +357,7 @@ SQL = {
     "publish_gate": f"""with a as (select doc_id, not regexp_matches(text, {lit(R.NARROW_LINK)}) as text_ok, quality = 1 as media_ok
       from documents join labels using (doc_id)) select *, text_ok and media_ok as published,
       case when not text_ok then 'text' when not media_ok then 'media' end as stopped_by from a""",
-    "word_distances": None,
+    # Equal to the swap distance unless letters are put between swapped ones.
+    "fuzzy_tokens_long": _fuzzy_long(("worthless", "pathetic", "disgusting")),
+    "moderate_fuzzy": fuzzy_verdicts(),
 }
-SQL = {name: sql for name, sql in SQL.items() if sql}
