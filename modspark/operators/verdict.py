@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modspark.durable import cut
 from modspark.functions import distance as D
 from modspark.functions import text as T
 from modspark.functions.bind import settle
@@ -224,22 +225,28 @@ def flat(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, "verdict.*")
 
 
-def moderate_once(df: DataFrame, key: str, text: str, lex: L.Lexicon, **options) -> DataFrame:
+SHARE = 1000  # a text is common when its copies are more than one in SHARE messages
+SALTS = 64
+
+
+def moderate_once(df: DataFrame, key: str, text: str, lex: L.Lexicon, share: int = SHARE, **options) -> DataFrame:
     """V2: each distinct text is judged once and the verdict handed to its copies.
 
     Only (hash, id) is shuffled to pick one message per text, with a partial minimum
-    on the map side, so a text with very many copies costs no more than one row per
-    task.  The hand-back joins a hash to its copies; the copies are spread by a salt
-    taken from their own id, and each verdict row is repeated once per salt.
+    and count on the map side.  Fewer than ``share`` texts can be common, so their
+    hashes fit in the plan; just their copies are spread by a salt taken from their own
+    id, and just their verdicts are repeated once per salt.
     """
-    salts = 64
-    sha = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    keyed = df.withColumn("sha", sha)
-    chosen = keyed.groupBy("sha").agg(F.min(key).alias(key))
+    keyed = df.withColumn("sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    chosen = cut(keyed.groupBy("sha").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies")))
+    total = chosen.agg(F.sum("copies")).first()[0] or 0
+    common = [r.sha for r in chosen.where(F.col("copies") > max(total / share, SALTS)).select("sha").limit(share).collect()]
+    is_common = F.col("sha").isin(*common, "")
     judged = moderate(keyed.join(chosen.select(key), key, "left_semi").select(key, text, "sha"), key, text, lex, **options)
-    spread = judged.select("sha", "verdict", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    return salted.join(spread, ["sha", "salt"], "left").drop("salt")
+    spread = judged.select("sha", "verdict", F.explode(F.when(
+        is_common, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    salt = F.when(is_common, F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).otherwise(0)
+    return keyed.withColumn("salt", salt).join(spread, ["sha", "salt"], "left").drop("salt")
 
 
 # --- fusion ---------------------------------------------------------------------
