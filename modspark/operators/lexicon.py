@@ -390,7 +390,7 @@ def evasive_hits(lex: Lexicon) -> Column:
     """P9.  Without a digit or sign that can stand for a letter, a disguised word can
     only be repeated or spread letters, and then a compact form holds the word."""
     entries = lex.critical()
-    firsts = "(?:" + "|".join(sorted({_stand_ins(e.folded[0]) for e in entries})) + ")"
+    firsts = "[" + "".join(sorted({_stand_ins(e.folded[0])[1:-1] for e in entries})) + "]"
     together = _any_body([_evasive_body(e.folded) for e in entries], firsts, r"[\p{L}\p{N}_]")
     plain = might_hit(entries, F.col("squeezed"))
     maybe = F.col("folded").rlike(r"[0-9*@$|+!]") | F.col("raw_text").rlike(r"[*]") | plain

@@ -11,8 +11,6 @@ from modspark.functions.times import hour_label, micros, mute_minutes, parse_tim
 from modspark.operators import identity as I
 from modspark.operators import ledger as G
 from modspark.operators import roles as O
-from modspark.operators import verdict as V
-from modspark.operators.timeline import latest
 from modspark.plans import migrate as M
 from modspark.plans.text_queries import KEY, table
 

@@ -103,7 +103,7 @@ def disguised_words(spark, sf):
 
 
 def custom_terms(spark, sf):
-    """S5 with every benchmark-free word list a tenant may bring: nation names here."""
+    """A tenant brings its own words; nation names stand for them."""
     extra = table(spark, sf, "nation").select(F.lower("n_name").alias("term"))
     lex = L.load(L.with_custom_terms(L.demo_lexicon(spark), extra), L.DEMO_ALLOWED, L.HARD_TERMS)
     return V.flat(V.moderate(documents(spark, sf), "doc_id", "text", lex), "doc_id").select("doc_id", "action", "item")
