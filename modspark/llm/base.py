@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,15 +36,15 @@ def remainder(key: Column, by: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(by))
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about ``limit`` bytes of ``column`` (or one row)."""
+def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about ``limit`` bytes of ``column`` (or one row), and at most ``rows`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
-            if i > start and total + n > limit:
+            if i > start and (total + n > limit or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n
