@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from modspark.llm import exact_dedup, langid, mixing, sharding, simhash
+from modspark.llm import embedding_dedup, exact_dedup, langid, mixing, sharding, simhash
 from modspark.llm.base import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": lambda spark, folder: simhash.near_dedup(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id"),
     "op4_sharding": lambda spark, folder: sharding.shard(table(spark, folder, "documents")),
     "op6_mixing": lambda spark, folder: mixing.mix(table(spark, folder, "documents")).drop("repeats"),
+    "op9_embedding_dedup": lambda spark, folder: embedding_dedup.near_dedup(table(spark, folder, "embeddings")),
     "op10_exact_dedup": lambda spark, folder: exact_dedup.exact_dedup(table(spark, folder, "documents")),
 }
 
