@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from modspark.llm import embedding_dedup, exact_dedup, langid, mixing, sharding, simhash
+import public_tokenizers
+
+from modspark.llm import embedding_dedup, exact_dedup, langid, mixing, sharding, simhash, token_files
 from modspark.llm.base import table
 
 QUERIES = {
     "op1_language_id": lambda spark, folder: langid.identify(table(spark, folder, "documents")),
     "op3_simhash": lambda spark, folder: simhash.near_dedup(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id"),
     "op4_sharding": lambda spark, folder: sharding.shard(table(spark, folder, "documents")),
+    "op5_token_files": lambda spark, folder: token_files.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op6_mixing": lambda spark, folder: mixing.mix(table(spark, folder, "documents")).drop("repeats"),
     "op9_embedding_dedup": lambda spark, folder: embedding_dedup.near_dedup(table(spark, folder, "embeddings")),
     "op10_exact_dedup": lambda spark, folder: exact_dedup.exact_dedup(table(spark, folder, "documents")),
