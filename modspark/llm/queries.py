@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from modspark.llm import embedding_dedup, exact_dedup, langid, mixing, sharding, simhash, token_files
+from modspark.llm import embedding_dedup, exact_dedup, langid, mixing, piece_lattice, sharding, simhash, token_files
 from modspark.llm.base import table
 
 QUERIES = {
     "op1_language_id": lambda spark, folder: langid.identify(table(spark, folder, "documents")),
+    "op2_piece_lattice": lambda spark, folder: piece_lattice.encode(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
     "op3_simhash": lambda spark, folder: simhash.near_dedup(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id"),
     "op4_sharding": lambda spark, folder: sharding.shard(table(spark, folder, "documents")),
     "op5_token_files": lambda spark, folder: token_files.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
