@@ -167,7 +167,8 @@ def train(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
     # A seeded hash of the text decides, so copies of a text are in the sample together or not at all.
     lot = F.shiftrightunsigned(F.xxhash64("text", F.lit("sample")), 11) * F.lit(2.0**-53)
-    drawn = rows.join(sizes, "lang").filter(lot * F.col("__n") < sample).select("text", "lang")
+    # One row per language, as the model has: the texts need no shuffle to meet their count.
+    drawn = rows.join(F.broadcast(sizes), "lang").filter(lot * F.col("__n") < sample).select("text", "lang")
     learnt = drawn.groupBy("lang").applyInArrow(_centroids(idf, clusters), "lang string, centroid array<float>, least array<double>").collect()
     learnt.sort(key=lambda r: (r.lang, r.centroid))
     langs = tuple(sorted({r.lang for r in learnt}))
