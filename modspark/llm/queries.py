@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from modspark.llm import embedding_dedup, exact_dedup, langid, mixing, piece_lattice, sharding, simhash, token_files, toxicity
+from modspark.llm import embedding_dedup, exact_dedup, langid, mixing, piece_lattice, sharding, simhash, suffix_dedup, token_files, toxicity
 from modspark.llm.base import table
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op4_sharding": lambda spark, folder: sharding.shard(table(spark, folder, "documents")),
     "op5_token_files": lambda spark, folder: token_files.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op6_mixing": lambda spark, folder: mixing.mix(table(spark, folder, "documents")).drop("repeats"),
+    "op7_suffix_dedup": lambda spark, folder: suffix_dedup.repeats(table(spark, folder, "documents")),
     "op8_toxicity": lambda spark, folder: toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels")),
     "op9_embedding_dedup": lambda spark, folder: embedding_dedup.near_dedup(table(spark, folder, "embeddings")),
     "op10_exact_dedup": lambda spark, folder: exact_dedup.exact_dedup(table(spark, folder, "documents")),
