@@ -208,5 +208,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are not rejected, all their columns kept."""
     model = train(docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
-    marked = predict(docs, model, {c: F.col(f"`{c}`") for c in docs.columns}, text_col)
-    return marked.filter(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    spare = {f"column_{i}": name for i, name in enumerate(docs.columns)}  # no column of the table can clash with these
+    marked = predict(docs, model, {new: F.col(f"`{old}`") for new, old in spare.items()}, text_col)
+    return marked.filter(~F.col("rejected")).select(*[F.col(new).alias(old) for new, old in spare.items()])
