@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from modspark.functions.bind import once
 
-MAX_LENGTH = 60
-
 
 def _swap_distance(a: Column, b: Column, limit: Column) -> Column:
     """Optimal string alignment distance; ``limit + 1`` once a whole row exceeds it."""
@@ -46,7 +44,7 @@ def bounded_distance(a: Column, b: Column, limit: Column | int = 2) -> Column:
     la, lb = F.length(a), F.length(b)
     return (
         F.when(a == b, 0)
-        .when((F.abs(la - lb) > limit) | (la > MAX_LENGTH) | (lb > MAX_LENGTH), limit + 1)
+        .when(F.abs(la - lb) > limit, limit + 1)
         .when(F.least(la, lb) == 0, F.greatest(la, lb))
         .otherwise(_swap_distance(a, b, limit))
     )

@@ -118,11 +118,9 @@ def package_text(entries: DataFrame) -> DataFrame:
 
 
 def plain_text(content: Column) -> Column:
-    """M7: struct(text, finding): utf-8, else cp1256; zero bytes in the
-    first 256 are a finding.  The whole text is decoded."""
-    start = F.substring(content, 1, 256)
-    binary = F.exists(F.sequence(F.lit(1), F.greatest(F.length(start), F.lit(1))),
-                      lambda i: F.hex(F.substring(start, i, F.lit(1))) == "00")
+    """M7: struct(text, finding): utf-8, else cp1256; a zero byte anywhere is a
+    finding.  The whole text is decoded."""
+    binary = F.contains(content, F.lit(b"\x00"))
     utf8 = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
     # cp1256 assigns every byte, so it never fails and latin-1 is not needed after it.
     text = F.coalesce(utf8, F.translate(F.decode(content, "ISO-8859-1"), *_CP1256))

@@ -79,15 +79,15 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[s
 
 
 def insert_if_absent(target: DataFrame, source: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """Known keys stay; of several new rows per key the first by ``order`` enters."""
-    one = earliest(source, keys, *order) if order else source.dropDuplicates(keys)
+    """Known keys stay; of several new rows per key the first by ``order``, then by all columns, enters."""
+    one = earliest(source, keys, *order, *[F.col(c) for c in source.columns])
     return target.unionByName(one.join(target.select(*keys), keys, "left_anti").select(*target.columns))
 
 
 def lifecycle(events: DataFrame) -> DataFrame:
     """State of each submission after its last event (id, event, us, message_id).
     Failed ones are soft-deleted; an unpublished one has no message id."""
-    last = latest(events, ["id"], F.col("us"))
+    last = latest(events, ["id"], F.col("us"), F.col("message_id"), F.col("event"))
     return last.select(
         "id", F.col("event").alias("status"), F.when(F.col("event") == "published", F.col("message_id")).alias("message_id"),
         (F.col("event") == "failed").alias("is_deleted"))
@@ -106,9 +106,9 @@ def soft_delete(messages: DataFrame, requests: DataFrame, key: str = "message_id
         "is_deleted", F.col("is_deleted") | F.coalesce("asked", F.lit(False))).drop("asked")
 
 
-def write_settings(settings: DataFrame, writes: DataFrame) -> DataFrame:
-    """Last write per key wins."""
-    return upsert(settings, writes, ["key"], ["value", "updated_at"], F.col("updated_at"))
+def write_settings(settings: DataFrame, writes: DataFrame, *order: Column) -> DataFrame:
+    """Last write per key wins; of writes at one time the last by ``order``, then by value."""
+    return upsert(settings, writes, ["key"], ["value", "updated_at"], F.col("updated_at"), *order, F.col("value"))
 
 
 def toggled(start: DataFrame, toggles: DataFrame) -> DataFrame:

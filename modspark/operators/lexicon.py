@@ -185,6 +185,12 @@ def squeezed_texts() -> Column:
     return F.array_join(F.array_distinct(F.transform("compact_variants", F.lower)), "\u0001")
 
 
+def letter_runs(*forms: str) -> Column:
+    """The letters alone of each form, side by side, each run of one letter taken once."""
+    bare = [F.lower(F.regexp_replace(F.col(f), r"[^\p{L}]+", "")) for f in forms]
+    return F.regexp_replace(F.array_join(F.array_distinct(F.array(*bare)), "\u0001"), r"(.)\1+", "$1")
+
+
 def _collapse(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
@@ -388,11 +394,11 @@ def pattern_hits(layer: str, entries: list[Row], pattern, any_pattern: str, form
 
 def evasive_hits(lex: Lexicon) -> Column:
     """P9.  Without a digit or sign that can stand for a letter, a disguised word can
-    only be repeated or spread letters, and then a compact form holds the word."""
+    only be repeated or spread letters, and then the bare letters, runs taken once, hold it."""
     entries = lex.critical()
     firsts = "[" + "".join(sorted({_stand_ins(e.folded[0])[1:-1] for e in entries})) + "]"
     together = _any_body([_evasive_body(e.folded) for e in entries], firsts, r"[\p{L}\p{N}_]")
-    plain = might_hit(entries, F.col("squeezed"))
+    plain = holds_any(letter_runs("raw_text", "folded", "leet", "latin_arabic"), sorted({_collapse(e.folded.lower()) for e in entries}))
     maybe = F.col("folded").rlike(r"[0-9*@$|+!]") | F.col("raw_text").rlike(r"[*]") | plain
     return pattern_hits("evasive", entries, evasive_pattern, together,
                         ["raw_text", "folded", "leet", "latin_arabic", "compact_ar", "compact_collapsed",

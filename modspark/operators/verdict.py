@@ -185,7 +185,7 @@ def fuzzy_pairs(words: DataFrame, terms: DataFrame) -> DataFrame:
         return lists[0].unionByName(lists[1])
 
     size, target = F.length("token"), F.length("term")
-    terms = terms.where((target >= 4) & (target <= D.MAX_LENGTH))
+    terms = terms.where(target >= 4)
     longest = terms.agg(F.max(target)).first()[0] or 0
     spark = words.sparkSession
     width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

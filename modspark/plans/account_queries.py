@@ -359,9 +359,9 @@ def settings_toggle(spark, sf):
 @query("""select key, arg_max(value, (updated_at, event_id)) as value, max(updated_at) as updated_at from (select event_type as key, props as value, ts as updated_at, event_id from events) group by 1""")
 def settings_write(spark, sf):
     """D8 / W8."""
-    ev = table(spark, sf, "events").select(F.col("event_type").alias("key"), F.col("props").alias("value"), F.col("ts").alias("updated_at"))
+    ev = table(spark, sf, "events").select(F.col("event_type").alias("key"), F.col("props").alias("value"), F.col("ts").alias("updated_at"), "event_id")
     none = spark.createDataFrame([], "key string, value string, updated_at timestamp_ntz")
-    return G.write_settings(none, ev)
+    return G.write_settings(none, ev, F.col("event_id"))
 
 
 @query("select l_returnflag = 'N' as delivered, count(*) as n from lineitem group by 1")

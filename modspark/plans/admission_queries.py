@@ -271,10 +271,10 @@ def stream_states(spark, sf):
     return S.merge_states(told, "states").select("id", "status")
 
 
-TALK = "select conv_id * 1000 + turn as k, text as raw from conversations"
+TALK = "select conv_id || '/' || turn as k, text as raw from conversations"
 
 
-@query(f"with {verdicts(TALK)} select k // 1000 as conv_id, k % 1000 as turn, * exclude (k) from verdicts")
+@query(f"with {verdicts(TALK)} select split_part(k, '/', 1)::bigint as conv_id, split_part(k, '/', 2)::bigint as turn, * exclude (k) from verdicts")
 def stream_moderate(spark, sf):
     """ST7: the batch cascade on a stream; no state at all."""
     rows = read_messages(spark, f"{sf}/conversations.parquet", "conv_id bigint, turn bigint, role string, text string")

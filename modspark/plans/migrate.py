@@ -2,39 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modspark.operators import ledger as G
+from modspark.operators import timeline as T
 from modspark.sources.tables import align
 
 # Order, key, conflict policy (columns updated, or None to keep the known row) and
 # defaults of columns that old files lack.
 STEPS = (
-    ("students", ["anonymous_id"],
-     ["user_hash", "enc_telegram_id", "enc_full_name", "enc_username", "is_banned", "ban_reason", "muted_until",
-      "total_posts", "total_replies", "last_active_at"],
+    ("students", ["anonymous_id"], ["enc_full_name", "enc_username", "is_banned", "total_posts", "total_replies"],
      {"is_banned": False, "total_posts": 0, "total_replies": 0}),
     ("banned_fingerprints", ["id_hash"], None, {}),
-    ("admin_credentials", ["telegram_id"], ["password_hash", "role"], {"role": "moderator"}),
+    ("admin_credentials", ["telegram_id"], ["password_hash"], {"role": "moderator"}),
     ("posts", ["channel_message_id"], None, {"is_deleted": False, "status": "published"}),
     ("replies", ["reply_channel_msg_id"], None, {"is_deleted": False, "status": "published"}),
     ("audit_logs", ["id"], None, {}),
-    ("system_settings", ["key"], ["value", "updated_at"], {}),
+    ("system_settings", ["key"], ["value"], {}),
 )
 
 
+def moved(known: DataFrame, rows: DataFrame, keys: list[str], update: list[str] | None) -> DataFrame:
+    """``rows`` entered into ``known`` one by one, by id (or by all columns where there is none).
+
+    A new key enters with its first row; further rows of a key, and rows of known keys, change the
+    ``update`` columns only, the last one winning. Null keys never conflict: all their rows enter.
+    """
+    order = [F.col(c) for c in (["id"] if "id" in rows.columns else []) + rows.columns]
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    keyed = rows.where(whole)
+    first = T.earliest(keyed, keys, *order)
+    if update:
+        last = T.latest(keyed, keys, *order).select(*keys, *update)
+        out = G.upsert(known.where(whole), first.drop(*update).join(last, keys).select(*rows.columns), keys, update)
+    else:
+        out = G.insert_if_absent(known.where(whole), first, keys)
+    return out.unionByName(known.where(~whole)).unionByName(rows.where(~whole))
+
+
 def plan(source: dict[str, DataFrame], target: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """New snapshot per table.  Tables the source lacks stay as they are."""
-    out = {}
-    for name, keys, update, defaults in STEPS:
-        known = target[name]
-        if name not in source:
-            out[name] = known
-            continue
-        rows = align(source[name], name, defaults).dropDuplicates(keys)
-        out[name] = G.upsert(known, rows, keys, update) if update else G.insert_if_absent(known, rows, keys)
-    return out
+    return {
+        name: moved(target[name], align(source[name], name, defaults), keys, update) if name in source else target[name]
+        for name, keys, update, defaults in STEPS}
 
 
 def migrate(spark: SparkSession, source: dict[str, DataFrame], target: dict[str, DataFrame], folder: str,

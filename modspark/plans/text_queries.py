@@ -47,12 +47,12 @@ def char_ngrams(spark, sf):
 
 
 def content_fingerprint(spark, sf):
-    docs = documents(spark, sf).select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
+    docs = documents(spark, sf).select(F.lit("documents").alias("origin"), F.col("doc_id").cast("string").alias("id"), "text")
     talk = texts(spark, sf, "conversations").select(
-        F.lit("conversations").alias("origin"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+        F.lit("conversations").alias("origin"), F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
     both = docs.unionByName(talk)
     return both.select("origin", "id", T.content_hash(F.col("text")).alias("plain_hash"),
-                       T.content_hash(F.col("text"), F.col("id").cast("string")).alias("media_hash"))
+                       T.content_hash(F.col("text"), F.col("id")).alias("media_hash"))
 
 
 def escaped_cards(spark, sf):
@@ -209,11 +209,11 @@ def policy_filter(spark, sf):
 def envelope_verdicts(spark, sf):
     talk = texts(spark, sf, "conversations")
     envelopes = talk.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        F.concat_ws("/", "conv_id", "turn").alias("id"),
         F.when(F.col("role") == "system", "document").otherwise("text").alias("content_type"),
         F.when(F.col("role") == "user", F.col("text")).alias("raw_source"),
         F.when(F.col("role") != "user", F.col("text")).alias("caption"),
-        F.when(F.col("role") == "system", F.substring("text", 1, 20)).alias("filename"))
+        F.when(F.col("role") == "system", F.col("text")).alias("filename"))
     signals = V.envelope_signals(envelopes, "id", V.lexicon_from(spark))
     return V.judge_envelopes(envelopes.select("id"), "id", signals).select(
         "id", "verdict.action", "verdict.category", "verdict.detected_item")

@@ -303,8 +303,8 @@ SQL = {
     "char_ngrams": f"""with c as (select item_id, {compact('lower(text)')} as t from benchmark)
       select distinct item_id, substr(t, i::int, n::int) as gram from c, range(3, 6) r(n), lateral (select unnest(range(1, length(t) - n + 2)) as i)
       where length(t) >= n""",
-    "content_fingerprint": f"""with a as (select 'documents' as origin, doc_id as id, text from documents
-      union all select 'conversations', conv_id * 1000 + turn, text from conversations),
+    "content_fingerprint": f"""with a as (select 'documents' as origin, doc_id::varchar as id, text from documents
+      union all select 'conversations', conv_id || '/' || turn, text from conversations),
       b as (select *, {hash_fold('text')} as ch from a), c as (select *, trim({cap('ch')}, {SPACES}) as f from b)
       select origin, id, case when f = '' then '' else sha256(f) end as plain_hash, sha256(f || '_' || id::varchar) as media_hash from c""",
     "escaped_cards": f"""with e as (select *, {escape('html')} as x from pages) select page_id, md5(x) as escaped,
@@ -345,15 +345,15 @@ SQL = {
       case when is_security then 'RULE_SECURITY_' || source else 'RULE_' || source || '_' || upper(category) end as rule_id from a where is_security or not alarmed""",
     "policy_filter": f"""with {SIGNALS} select p as policy_id, category, payload_id, ordinal from signals, (values ('strict'), ('open')) v(p)
       where not (p = 'open' and category in ('link', 'bullying'))""",
-    "envelope_verdicts": f"""with {verdicts('''select id * 10 + part as k, body as raw from (
-        select conv_id * 1000 + turn as id, 0 as part, case when role <> 'user' then text end as body from conversations
-        union all select conv_id * 1000 + turn, 1, case when role = 'system' then substr(text, 1, 20) end from conversations
-        union all select conv_id * 1000 + turn, 2, case when role <> 'system' then text end from conversations) where coalesce(body, '') <> '' ''')},
-      b as (select k // 10 as id, k % 10 as part, category, item, confidence, case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end as score
+    "envelope_verdicts": f"""with {verdicts('''select id || '/' || part as k, body as raw from (
+        select conv_id || '/' || turn as id, 0 as part, case when role <> 'user' then text end as body from conversations
+        union all select conv_id || '/' || turn, 1, case when role = 'system' then text end from conversations
+        union all select conv_id || '/' || turn, 2, case when role <> 'system' then text end from conversations) where coalesce(body, '') <> '' ''')},
+      b as (select regexp_replace(k, '/[0-9]+$', '') as id, split_part(k, '/', 3)::int as part, category, item, confidence, case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end as score
         from verdicts where not is_allowed),
       t as (select *, row_number() over (partition by id order by score desc, confidence desc, part) as rn from b)
       select e.id, case when t.id is null then 'ALLOW' else 'BLOCK' end as action, coalesce(t.category, 'none') as category, t.item as detected_item
-      from (select conv_id * 1000 + turn as id from conversations) e left join t on e.id = t.id and t.rn = 1""",
+      from (select conv_id || '/' || turn as id from conversations) e left join t on e.id = t.id and t.rn = 1""",
     "publish_gate": f"""with a as (select doc_id, not regexp_matches(text, {lit(R.NARROW_LINK)}) as text_ok, quality = 1 as media_ok
       from documents join labels using (doc_id)) select *, text_ok and media_ok as published,
       case when not text_ok then 'text' when not media_ok then 'media' end as stopped_by from a""",

@@ -18,22 +18,22 @@ AUDIT_ACTIONS = (
 )
 
 TABLES = {
-    "students": """id int, anonymous_id int, user_hash string, enc_telegram_id string, enc_full_name string,
-        enc_username string, is_banned boolean, ban_reason string, muted_until timestamp, total_posts int,
-        total_replies int, created_at timestamp, last_active_at timestamp""",
+    "students": """id bigint, anonymous_id bigint, user_hash string, enc_telegram_id string, enc_full_name string,
+        enc_username string, is_banned boolean, ban_reason string, muted_until timestamp, total_posts bigint,
+        total_replies bigint, created_at timestamp, last_active_at timestamp""",
     "banned_fingerprints": "id_hash string, reason string, banned_at timestamp",
     "admin_credentials": "telegram_id bigint, password_hash string, role string, created_at timestamp, last_login_at timestamp",
-    "security_events": "id int, user_id bigint, event_type string, created_at timestamp",
-    "admin_login_attempts": "id int, user_id bigint, attempted_at timestamp",
+    "security_events": "id bigint, user_id bigint, event_type string, created_at timestamp",
+    "admin_login_attempts": "id bigint, user_id bigint, attempted_at timestamp",
     "admin_sessions": "user_id bigint, authenticated_at timestamp, role string",
-    "posts": """id int, anonymous_id int, channel_message_id bigint, user_msg_id bigint, media_type string,
+    "posts": """id bigint, anonymous_id bigint, channel_message_id bigint, user_msg_id bigint, media_type string,
         media_file_id string, content_preview string, content_hash string, created_at timestamp,
         is_deleted boolean, status string, enc_original_filename string""",
-    "replies": """id int, anonymous_id int, parent_channel_msg_id bigint, reply_channel_msg_id bigint,
+    "replies": """id bigint, anonymous_id bigint, parent_channel_msg_id bigint, reply_channel_msg_id bigint,
         user_msg_id bigint, media_type string, media_file_id string, content_preview string,
         content_hash string, created_at timestamp, is_deleted boolean, status string, enc_original_filename string""",
-    "submission_quotas": "user_hash string, window_hour string, count int",
-    "audit_logs": "id int, admin_id bigint, action string, target_anonymous_id int, details string, created_at timestamp",
+    "submission_quotas": "user_hash string, window_hour string, count bigint",
+    "audit_logs": "id bigint, admin_id bigint, action string, target_anonymous_id bigint, details string, created_at timestamp",
     "system_settings": "key string, value string, updated_at timestamp",
 }
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 ENTRIES = """path string, position int, entry_name string, inflated_size bigint, head binary, content binary,
     error string"""
 TEXT_ENTRIES = (".txt", ".md", ".csv", ".json", ".xml")
-TEXT_LIMIT = 500_000
+#: Bytes of entry texts handed on together.
+BATCH = 8_000_000
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -33,7 +34,7 @@ def _zip_rows(path: str, data: bytes, head: int) -> Iterator[tuple]:
             try:
                 with archive.open(info) as entry:
                     start = entry.read(head)
-                if info.filename.lower().endswith(TEXT_ENTRIES) and info.file_size < TEXT_LIMIT:
+                if info.filename.lower().endswith(TEXT_ENTRIES):
                     body = archive.read(info)
             except (RuntimeError, zipfile.BadZipFile, NotImplementedError, OSError):
                 pass  # an unreadable entry is still listed
@@ -51,21 +52,30 @@ def list_entries(files: DataFrame, head: int = 32) -> DataFrame:
     rows is relational.  A file that cannot be read yields one row with ``error``."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["path", "position", "entry_name", "inflated_size", "head", "content", "error"]
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=columns).astype({"position": "Int32", "inflated_size": "Int64"})
+
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"]):
+                rows, held = [], 0
                 try:
-                    is_zip = data[:2] == b"PK"
-                    rows = list(_zip_rows(path, data, head) if is_zip else _tar_rows(path, data))
+                    for row in _zip_rows(path, data, head) if data[:2] == b"PK" else _tar_rows(path, data):
+                        rows.append(row)
+                        held += len(row[5] or b"") + 200
+                        if held > BATCH:
+                            yield frame(rows)
+                            rows, held = [], 0
                 except Exception as e:  # fail closed: the reason becomes a finding
-                    rows = [(path, None, None, None, None, None, f"archive cannot be read: {type(e).__name__}")]
+                    rows.append((path, None, None, None, None, None, f"archive cannot be read: {type(e).__name__}"))
                 if rows:
-                    yield pd.DataFrame(rows, columns=columns).astype({"position": "Int32", "inflated_size": "Int64"})
+                    yield frame(rows)
 
     return files.select("path", "content").mapInPandas(work, ENTRIES)
 
 
 def entry_texts(entries: DataFrame) -> DataFrame:
-    """M6: whole text of the small text entries, bad bytes dropped."""
+    """M6: whole text of the text entries, bad bytes dropped."""
     readable = F.col("entry_name").rlike(r"(?i)\.(txt|md|csv|json)$") & F.col("content").isNotNull()
     return entries.where(readable).select(
         "path", "entry_name", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("text"))
