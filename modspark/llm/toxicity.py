@@ -155,15 +155,22 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names=["term", "toxic", "clean"])
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from rows (text, toxic). Null labels are passed over, null texts count as empty."""
-    rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
-    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from texts (id, text) and labels (id, toxic). Labels that are neither 0 nor 1 are
+    passed over, null texts count as empty.
+
+    The sample is drawn from the labels, so that few rows, bounded by ``sample``, go to the texts.
+    """
+    known = labels.select("id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
+    sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    one_sided = Model({}, np.array([0.0, 0.0, 30.0 if 1 in sizes and 0 not in sizes else -30.0]), 0)
     if len(sizes) < 2:
-        return Model({}, np.array([0.0, 0.0, 30.0 if 1 in sizes else -30.0]), 0)
-    lot = F.shiftrightunsigned(F.xxhash64("text", F.lit("sample")), 11) * F.lit(2.0**-53)
+        return one_sided
     rate = {k: min(1.0, sample / n) for k, n in sizes.items()}
-    drawn = rows.filter(lot < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
+    lot = F.shiftrightunsigned(F.xxhash64("id", F.lit("sample")), 11) * F.lit(2.0**-53)
+    few = known.filter(lot < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
+    drawn = staged(docs.join(F.broadcast(few), "id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic"), "toxic-drawn")
+
     # Copies tell of themselves, not of toxic words: of texts with one smallest token hash, one of each label counts.
     least = F.array_min(F.transform(F.split("text", r"\s+"), lambda t: F.xxhash64(t)))
     apart = staged(drawn.withColumn("least", least).dropDuplicates(["least", "toxic"]).select("text", "toxic"), "toxic-sample")
@@ -193,6 +200,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
     found = drawn.select("text", "toxic").mapInArrow(votes, "toxic int, found array<int>").collect()  # bounded by the sample
     found.sort(key=lambda r: (r.toxic, r.found))
+    if not found:
+        return one_sided
     fired = features([set(r.found) for r in found], len(spots), lexicon)
     weights = np.array([1 / rate[r.toxic] for r in found])
     posterior = label_model(fired, np.array([r.toxic for r in found]), weights / weights.mean())
@@ -209,9 +218,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts twice. Equal texts get equal scores.
     """
     out = remainder(F.col(id_col), folds) == held
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("toxic")).filter(F.col("toxic").isNotNull() & ~(remainder(F.col("__id"), folds) == held))
-    model = train(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(known, F.col("doc_id") == F.col("__id")).select("text", "toxic"), sample)
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).filter(~(remainder(F.col("id"), folds) == held))
+    model = train(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known, sample)
 
     def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spotter = Spotter(model.spots)
