@@ -83,8 +83,7 @@ def pii_scan(spark, sf):
 
 
 def phrase_hits(spark, sf):
-    phrases = table(spark, sf, "benchmark").where(P.long_enough(F.col("text")))
-    return P.long_phrases(documents(spark, sf), phrases, "doc_id", "text", "item_id", "text")
+    return P.long_phrases(documents(spark, sf), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
 def _hit_rows(spark, sf, layers: tuple[int, ...]):

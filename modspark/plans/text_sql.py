@@ -316,7 +316,7 @@ SQL = {
       select origin, id, {link('text')} as link, regexp_matches(text, {lit(R.NARROW_LINK)}) as plain_link from a""",
     "pii_scan": f"""select doc_id, {phone('text')} as phone, {email('text')} as email, {name('text')} as name, {age('text')} as age,
       null::varchar as place, {pii_category('text')} as category from documents""",
-    "phrase_hits": f"""select doc_id, item_id from documents d, benchmark b where len({words('lower(b.text)')}) >= 6 and contains(lower(d.text), lower(b.text))""",
+    "phrase_hits": f"""select doc_id, item_id from documents d, benchmark b where contains(lower(d.text), lower(b.text))""",
     "lexicon_hits": f"with {bundle(DOCS)}, {hits()} {HIT_ROWS.format(layers='0, 5, 6, 7')}",
     "disguised_words": f"with {bundle(DOCS)}, {hits()} {HIT_ROWS.format(layers='3, 4')}",
     "custom_terms": f"with {verdicts(lexicon=custom_lexicon())} select k as doc_id, action, item from verdicts",
