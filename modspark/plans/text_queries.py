@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from modspark.functions import distance as D
 from modspark.functions import text as T
+from modspark.functions.register import register
 from modspark.operators import lexicon as L
 from modspark.operators import phrases as P
 from modspark.operators import rules as R
@@ -169,7 +170,13 @@ def word_distances(spark, sf):
     pairs = words.select(F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("p"))
     a, b = F.col("a"), F.col("b")
     return pairs.select("p.a", "p.b").distinct().select(
-        "a", "b", D.bounded_distance(a, b, 1).alias("distance"), F.round(D.similarity(a, b), 6).alias("similarity"))
+        "a", "b", F.least(D.bounded_distance(a, b, 1), F.lit(2)).alias("distance"), F.round(D.similarity(a, b), 6).alias("similarity"))
+
+
+def sql_functions(spark, sf):
+    """The SQL names (see functions/register.py)."""
+    register(spark, KEY)
+    return documents(spark, sf).selectExpr("doc_id", "content_hash(text) as content", "content_hash(text, cast(doc_id as string)) as media")
 
 
 def _signals(spark, sf) -> DataFrame:
@@ -228,4 +235,4 @@ QUERIES = {f.__name__: f for f in (
     moderate_documents, normalize_bundle, char_ngrams, content_fingerprint, escaped_cards, redact_text, link_scan, pii_scan,
     phrase_hits, lexicon_hits, disguised_words, custom_terms, profanity_test, moderate_open_links, moderate_fuzzy,
     verdict_reuse, moderation_eval, noisy_recall, fuzzy_tokens, fuzzy_tokens_long, word_distances, signal_fusion,
-    signal_reasons, policy_filter, envelope_verdicts, publish_gate)}
+    signal_reasons, policy_filter, envelope_verdicts, publish_gate, sql_functions)}

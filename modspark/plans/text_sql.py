@@ -345,6 +345,25 @@ SQL = {
       case when is_security then 'RULE_SECURITY_' || source else 'RULE_' || source || '_' || upper(category) end as rule_id from a where is_security or not alarmed""",
     "policy_filter": f"""with {SIGNALS} select p as policy_id, category, payload_id, ordinal from signals, (values ('strict'), ('open')) v(p)
       where not (p = 'open' and category in ('link', 'bullying'))""",
+    # The swap distance cell by cell; a row all above the limit ends the count at limit + 1.
+    "word_distances": f"""with recursive w as (select {words('lower(text)')} as w from benchmark),
+      pairs as (select distinct w[i::int] as a, w[i::int + 1] as b from w, lateral (select unnest(range(1, len(w))) as i)),
+      sized as (select *, length(a) as la, length(b) as lb, greatest(3, greatest(length(a), length(b)) // 3) as most from pairs),
+      d as (
+        select *, 1::bigint as i, 1::bigint as j, range(0, lb + 1) as older, range(0, lb + 1) as last, [1::bigint] as cur, false as cut1, false as cut from sized
+        union all
+        select a, b, la, lb, most, case when j = lb then i + 1 else i end, case when j = lb then 1 else j + 1 end,
+          case when j = lb then last else older end, case when j = lb then list_append(cur, v) else last end,
+          case when j = lb then [i + 1] else list_append(cur, v) end,
+          cut1 or (j = lb and list_min(list_append(cur, v)) > 1), cut or (j = lb and list_min(list_append(cur, v)) > most)
+        from (select *, least(last[j + 1] + 1, cur[j] + 1, last[j] + (substr(a, i, 1) <> substr(b, j, 1))::int,
+          case when i > 1 and j > 1 and substr(a, i, 1) = substr(b, j - 1, 1) and substr(a, i - 1, 1) = substr(b, j, 1) then older[j - 1] + 1 end) as v
+          from d where i <= la)),
+      e as (select a, b, la, lb, most, cut1, cut, last[lb + 1] as v from d where i > la)
+      select a, b, case when a = b then 0 when abs(la - lb) > 1 or cut1 then 2 else least(v, 2) end as distance,
+        round(case when a = b then 1.0 else greatest(0.0, 1.0 - (case when abs(la - lb) > most or cut then most + 1 else v end) / greatest(la, lb)) end, 6) as similarity from e""",
+    "sql_functions": f"""with b as (select doc_id, {hash_fold('text')} as ch from documents), c as (select *, trim({cap('ch')}, {SPACES}) as f from b)
+      select doc_id, case when f = '' then '' else sha256(f) end as content, sha256(f || '_' || doc_id::varchar) as media from c""",
     "envelope_verdicts": f"""with {verdicts('''select id || '/' || part as k, body as raw from (
         select conv_id || '/' || turn as id, 0 as part, case when role <> 'user' then text end as body from conversations
         union all select conv_id || '/' || turn, 1, case when role = 'system' then text end from conversations
