@@ -183,16 +183,17 @@ ROLE_SQL = "roles(id, priority, role) as (values " + ", ".join(f"({i}, {p}, '{r}
 
 
 @query(f"""with {ROLE_SQL}, r as (select id, arg_min(role, priority) as role from roles group by id)
-  select s_suppkey as caller, 101 + c_custkey as anonymous_id, coalesce(role = 'primary_admin', false) as revealed,
+  select l_suppkey as caller, 101 + c_custkey as anonymous_id, coalesce(role = 'primary_admin', false) as revealed,
    case when role = 'primary_admin' then c_name end as full_name, null as username, case when role = 'primary_admin' then c_custkey end as telegram_id
-  from supplier left join r on r.id = s_suppkey join customer on c_nationkey = s_nationkey""")
+  from (select distinct l_suppkey, o_custkey from lineitem join orders on l_orderkey = o_orderkey) a
+  left join r on r.id = l_suppkey join customer on c_custkey = o_custkey""")
 def identity_reveal(spark, sf):
-    """K6: suppliers ask about the customers of their nation."""
-    callers = O.with_role(table(spark, sf, "supplier").withColumnRenamed("s_suppkey", "id"), spark.createDataFrame(ROLES, "id bigint, priority int, role string"), "id")
-    s = people(spark, sf)
-    asked = callers.join(s.select("anonymous_id", F.col("c_nationkey").alias("s_nationkey")), "s_nationkey").select(
+    """K6: suppliers ask about the customers they delivered to."""
+    asked = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_suppkey").alias("id"), (F.col("o_custkey") + 101).alias("anonymous_id")).distinct()
+    callers = O.with_role(asked, spark.createDataFrame(ROLES, "id bigint, priority int, role string"), "id").select(
         F.col("id").alias("caller"), F.coalesce("role", F.lit("none")).alias("role"), F.lit(True).alias("session_ok"), "anonymous_id")
-    return I.reveal(s, asked, SEAL)
+    return I.reveal(people(spark, sf), callers, SEAL)
 
 
 @query(f"""with {ROLE_SQL}, r as (select id, arg_min(role, priority) as role from roles group by id),

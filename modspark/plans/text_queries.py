@@ -190,7 +190,7 @@ def _signals(spark, sf) -> DataFrame:
         F.col("conv_id").alias("payload_id"), F.col("turn").cast("int").alias("ordinal"), F.upper("role").alias("source"),
         kind.alias("category"), grade.alias("severity"), ((size % 10) / 10.0).alias("confidence"),
         (size % 2 == 0).alias("is_violation"), security.alias("is_security"), reason.alias("reason"),
-        F.substring("text", 1, 12).alias("detected_item"))
+        F.md5("text").alias("detected_item"))
 
 
 def signal_fusion(spark, sf):
@@ -226,8 +226,8 @@ def envelope_verdicts(spark, sf):
 
 
 def publish_gate(spark, sf):
-    docs = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
-    flags = docs.select("doc_id", (~R.has_plain_link(F.col("text"))).alias("text_ok"), (F.col("quality") == 1).alias("media_ok"))
+    docs = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
+    flags = docs.select("doc_id", (~R.has_plain_link(F.col("text"))).alias("text_ok"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("media_ok"))
     return V.publish_gate(flags)
 
 

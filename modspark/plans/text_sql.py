@@ -237,7 +237,7 @@ SIGNALS = """signals as (select conv_id as payload_id, turn::int as ordinal, upp
   ['profanity','hate','link','bullying','media_unsafe'][length(text) % 5 + 1] as category,
   ['low','medium','high','critical'][length(text) % 4 + 1] as severity, (length(text) % 10) / 10.0::double as confidence,
   length(text) % 2 = 0 as is_violation, role = 'system' and length(text) % 3 = 0 as is_security,
-  ['unsupported type','macro found','wording'][length(text) % 3 + 1] as reason, substr(text, 1, 12) as detected_item from conversations),
+  ['unsupported type','macro found','wording'][length(text) % 3 + 1] as reason, md5(text) as detected_item from conversations),
 counted as (select *, length(severity) as x, case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end as score
   from signals where is_violation and (is_security or category <> 'link'))"""
 
@@ -373,8 +373,8 @@ SQL = {
       t as (select *, row_number() over (partition by id order by score desc, confidence desc, part) as rn from b)
       select e.id, case when t.id is null then 'ALLOW' else 'BLOCK' end as action, coalesce(t.category, 'none') as category, t.item as detected_item
       from (select conv_id || '/' || turn as id from conversations) e left join t on e.id = t.id and t.rn = 1""",
-    "publish_gate": f"""with a as (select doc_id, not regexp_matches(text, {lit(R.NARROW_LINK)}) as text_ok, quality = 1 as media_ok
-      from documents join labels using (doc_id)) select *, text_ok and media_ok as published,
+    "publish_gate": f"""with a as (select doc_id, not regexp_matches(text, {lit(R.NARROW_LINK)}) as text_ok, coalesce(quality = 1, false) as media_ok
+      from documents left join labels using (doc_id)) select *, text_ok and media_ok as published,
       case when not text_ok then 'text' when not media_ok then 'media' end as stopped_by from a""",
     # Equal to the swap distance unless letters are put between swapped ones.
     "fuzzy_tokens_long": _fuzzy_long(("worthless", "pathetic", "disgusting")),
