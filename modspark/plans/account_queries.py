@@ -337,12 +337,21 @@ def insert_if_absent(spark, sf):
   l as (select id, case s when 'F' then 'published' when 'O' then 'pending' else 'failed' end as status, x[2] as k from e)
   select id, status, case when status = 'published' then k end as message_id, status = 'failed' as is_deleted from l""")
 def submission_states(spark, sf):
-    """The last event of each submission; order id stands for the moment within a day."""
+    """The last event of each submission; of events at one time the one with the highest message id."""
     e = messages(spark, sf).select((F.col("anonymous_id") - 101).alias("id"), F.col("status").alias("event"),
-                                   (micros("ts") + F.col("message_id")).alias("us"), "message_id")
+                                   micros("ts").alias("us"), "message_id")
     return G.lifecycle(e)
 
 
+@query("""with e as (select o_custkey as id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) as s, min(o_orderdate) as t from orders group by 1)
+  select id, 'pending' as status from e where s = 'O' and t < timestamp '1997-01-01'""")
+def stale_submissions(spark, sf):
+    """Submissions still pending long after they came in."""
+    e = messages(spark, sf).select((F.col("anonymous_id") - 101).alias("id"), F.col("status").alias("event"), micros("ts").alias("us"), "message_id")
+    first = e.groupBy("id").agg(F.min("us").alias("us"))
+    return G.stale_pending(G.lifecycle(e), first, F.lit(852_076_800_000_000 + DAY), DAY).select("id", "status")
+
+
 @query("""select o_orderkey as message_id, o_orderstatus = 'P' or o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R') as is_deleted from orders""")
 def soft_delete(spark, sf):
     """D7."""

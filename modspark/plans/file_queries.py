@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from modspark.durable import run_dir
 from modspark.functions import text as T
 from modspark.operators import files as M
 from modspark.plans.text_queries import table, texts
+from modspark.plans.text_sql import redacted
+from modspark.sources.files import entry_texts
+from modspark.sources.tables import align, append, append_redacted, read_table
 
 QUERIES, SQL = {}, {}
 
@@ -124,3 +128,50 @@ def intake_findings(spark, sf):
                                          F.lit("photo").alias("content_type"), F.when(n == 1, 0).when(n == 2, F.length("html")).alias("length"))
     out = M.intake_findings(f)
     return out.select(F.regexp_extract("payload_id", r"(\d+)", 1).cast("bigint").alias("payload_id"), "reason")
+
+
+@query(r"""with t as (select page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') as t from pages),
+  u as (select page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&') as t from t),
+  v as (select page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) as t from u)
+  select page_id::varchar as path, md5(t) as digest from v""")
+def package_parts(spark, sf):
+    """M8: pages as the text parts of office packages."""
+    parts = texts(spark, sf, "pages").select(
+        F.col("page_id").cast("string").alias("path"), F.lit("word/document.xml").alias("entry_name"), F.encode("html", "UTF-8").alias("content"))
+    return M.package_text(parts).select("path", F.md5("text").alias("digest"))
+
+
+@query("""select doc_id::varchar as path, md5(replace(text, chr(65533), '')) as digest from documents where doc_id % 3 <> 2""")
+def archive_texts(spark, sf):
+    """M6: documents as archive entries; those that are no text by their name are passed over."""
+    name = F.concat("source", F.get(F.array(F.lit("/a.txt"), F.lit("/b.JSON"), F.lit("/c.bin")), F.pmod("doc_id", F.lit(3)).cast("int")))
+    entries = texts(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("path"), name.alias("entry_name"), F.encode("text", "UTF-8").alias("content"))
+    return entry_texts(entries).select("path", F.md5("text").alias("digest"))
+
+
+@query(f"""select p_partkey, p_size * 700 > {M.MAX_SIDE} or length(p_name) * 400 > {M.MAX_SIDE} as oversized from part""")
+def oversized_images(spark, sf):
+    """Part sizes as image sides."""
+    return table(spark, sf, "part").select("p_partkey", M.oversized(F.col("p_size") * 700, F.length("p_name") * 400).alias("oversized"))
+
+
+@query(f"select doc_id, md5({redacted('text')}) as redacted, source from documents")
+def redacted_sink(spark, sf):
+    """Two appends of redacted rows, read back from the shared folder."""
+    docs, folder = texts(spark, sf, "documents").select("doc_id", "text", "source"), run_dir(spark, "redacted")
+    for part in (docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 <> 0")):
+        append_redacted(part, folder, "text")
+    return spark.read.parquet(folder).select("doc_id", F.md5("text").alias("redacted"), "source")
+
+
+@query("""select o_orderkey as id, o_custkey + 101 as anonymous_id, o_orderkey as channel_message_id, o_orderpriority as content_preview,
+  o_orderstatus = 'P' as is_deleted, 'published' as status from orders""")
+def ledger_table(spark, sf):
+    """Orders written as the posts table and read with its declared schema."""
+    folder = run_dir(spark, "posts")
+    posts = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") + 101).alias("anonymous_id"), F.col("o_orderkey").alias("channel_message_id"),
+        F.col("o_orderpriority").alias("content_preview"), (F.col("o_orderstatus") == "P").alias("is_deleted"))
+    append(align(posts, "posts", {"status": "published"}), folder)
+    return read_table(spark, folder, "posts").select("id", "anonymous_id", "channel_message_id", "content_preview", "is_deleted", "status")
