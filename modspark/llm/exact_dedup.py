@@ -148,6 +148,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         placed.select("part", "doc_id", "fp", "sha", "text").groupBy("part")
         .cogroup(answers.groupBy("part")).applyInArrow(_receive, SEEN), "exact-seen")
 
+    spark.sql(f"drop table {name}")  # the name only: nothing below reads it, and its files stay in the shared folder
+
     alone = seen.filter(F.col("text").isNull()).select(
         F.col("keep_id").alias("doc_id"), "keep_id", F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     suspects = seen.filter(F.col("text").isNotNull())
