@@ -168,8 +168,13 @@ def _extended(words: int):
             # One number per text and place, so that each run is taken once.
             runs = np.unique(w.starts[text[fits]] + starts[fits])
             text = np.searchsorted(w.starts + w.counts, runs, side="right")
+            hashes = w.runs(runs, words)
+            order = np.lexsort((hashes, text))  # stable, so in a text's order of places
+            again = np.zeros(len(runs), bool)
+            again[order[1:]] = (hashes[order[1:]] == hashes[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w.runs(runs, words).view(np.int64)), pa.array(doc[text]), pa.array((runs - w.starts[text]).astype(np.int32))], names=["run", "doc", "at"])
+                [pa.array(hashes.view(np.int64)), pa.array(doc[text]), pa.array((runs - w.starts[text]).astype(np.int32)), pa.array(again)],
+                names=["run", "doc", "at", "again"])
 
     return step
 
@@ -202,7 +207,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     """doc_id, start_word, end_word, n_words, later_words: one row per longest stretch of a document
     in which every run of ``words`` words is in another document too; words start_word to end_word
     (not included), split at ASCII white space and compared as they are. ``later_words`` counts the
-    words in runs whose first occurrence (smallest id and place) is elsewhere: those that would go.
+    words in runs whose first occurrence (smallest id, then its first place) is elsewhere: those that would go.
 
     Rows with one id are one document, and so are those with a null id; repeats inside a document
     don't count. Null, empty and short texts have no passages. Stretches that touch are one.
@@ -223,11 +228,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         .unionByName(compared.filter(F.col("kind") == UNSURE).join(F.broadcast(over), "suffix").select("doc", "at")))
     # A document's places are bounded by its words.
     places = kept.groupBy("doc").agg(F.collect_list("at").alias("places"))
-    runs = staged(rows.join(places, "doc").mapInArrow(_extended(words), "run bigint, doc bigint, at int"), "suffixes-runs")
+    runs = staged(rows.join(places, "doc").mapInArrow(_extended(words), "run bigint, doc bigint, at int, again boolean"), "suffixes-runs")
     shared = (
-        runs.groupBy("run").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("high"))
-        .filter(F.col("first.doc") != F.col("high")).select("run", "first"))
-    found = runs.join(shared, "run").select("doc", F.struct("at", (F.struct("doc", "at") != F.col("first")).alias("later")).alias("run"))
+        runs.groupBy("run").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+        .filter("low != high").select("run", "low"))
+    found = runs.join(shared, "run").select("doc", F.struct("at", ((F.col("doc") != F.col("low")) | F.col("again")).alias("later")).alias("run"))
     out = found.groupBy("doc").agg(F.collect_list("run").alias("found")).mapInArrow(
         _joined(words), "doc bigint, start_word bigint, end_word bigint, n_words bigint, later_words bigint")
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).cast(kind).alias("doc_id"), "start_word", "end_word", "n_words", "later_words")
