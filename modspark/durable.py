@@ -30,6 +30,13 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder and read back."""
+    folder = run_dir(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` so that partition ids survive the loss of an executor."""
     shared_dir(df.sparkSession)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modspark.durable import cut
+from modspark.durable import cut, written
 from modspark.functions import distance as D
 from modspark.functions import text as T
 from modspark.functions.bind import settle
@@ -155,18 +155,23 @@ def verdict_of(hit: Column) -> Column:
 
 
 def moderate(df: DataFrame, key: str, text: str, lex: L.Lexicon, disabled: tuple[str, ...] = (),
-             allow_links: bool = False, fuzzy: bool = False, normalize: bool = True) -> DataFrame:
+             allow_links: bool = False, fuzzy: bool = True, normalize: bool = True) -> DataFrame:
     """V1: first hit in (layer, form, list) order decides; adds column ``verdict``.
 
-    Layers 0-7 are narrow.  The fuzzy layer compares distinct words, so its shuffle
-    carries a vocabulary, not texts.
+    Layers 0-7 are narrow.  The fuzzy layer (off on streams) compares distinct words, so
+    its shuffle carries a vocabulary, not texts; the words are written once and read twice.
+    It meets the messages by a digest of the text, so ``key`` need not be unique.
     """
     hits = with_hits(df, text, lex, disabled, allow_links, normalize)
     first = hits.withColumn("hit", F.array_min("hits")).drop("hits")
-    if fuzzy:
-        words = T.with_bundle(df.select(key, text), text, normalize).select(key, "tokens")
-        near = fuzzy_layer(words, key, lex, disabled).withColumnRenamed("hit", "near_hit")
-        first = first.join(near, key, "left").withColumn("hit", F.coalesce("hit", "near_hit")).drop("near_hit")
+    if fuzzy and any(e.fuzzy and e.category not in disabled for e in lex.entries):
+        mark = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+        words = written(T.with_bundle(df.select(mark.alias("mark"), text), text, normalize).select("mark", "tokens"), "words")
+        near = fuzzy_layer(words, "mark", lex, disabled).withColumnRenamed("hit", "near_hit")
+        blank = T.strip_spaces(F.coalesce(F.col(text), F.lit(""))) == ""
+        first = (
+            first.withColumn("mark", mark).join(near, "mark", "left")
+            .withColumn("hit", F.coalesce("hit", F.when(~blank, F.col("near_hit")))).drop("near_hit", "mark"))
     return settle(first, verdict=verdict_of(F.col("hit"))).drop("hit")
 
 

@@ -276,7 +276,7 @@ TALK = "select conv_id || '/' || turn as k, text as raw from conversations"
 
 @query(f"with {verdicts(TALK)} select split_part(k, '/', 1)::bigint as conv_id, split_part(k, '/', 2)::bigint as turn, * exclude (k) from verdicts")
 def stream_moderate(spark, sf):
-    """ST7: the batch cascade on a stream; no state at all."""
+    """ST7: the narrow layers of the cascade on a stream; no state at all."""
     rows = read_messages(spark, f"{sf}/conversations.parquet", "conv_id bigint, turn bigint, role string, text string")
-    judged = V.moderate(rows, "conv_id", "text", V.lexicon_from(spark))
+    judged = V.moderate(rows, "conv_id", "text", V.lexicon_from(spark), fuzzy=False)
     return S.run_once(V.flat(judged, "conv_id", "turn"), "moderated")

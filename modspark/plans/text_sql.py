@@ -265,11 +265,12 @@ def _fuzzy_long(terms: tuple[str, ...]) -> str:
         where d <= 2 and 1.0 - d::double / greatest(length(token), length(term)) >= 0.75"""
 
 
-def fuzzy_verdicts() -> str:
-    """The verdicts with layer 8 for messages nothing else decided."""
-    terms = ", ".join(f"({i}, {lit(t)}, {lit(c)}, {lit(s)})" for i, (t, c, s, _, _, fuzzy, _) in enumerate(L.DEMO_TERMS) if fuzzy)
+def complete(source: str = DOCS, off: tuple[str, ...] = (), links: bool = True, lexicon: str | None = None) -> str:
+    """CTEs ending in complete(...): the verdicts with layer 8 for messages nothing else decided."""
+    terms = ", ".join(f"({i}, {lit(t)}, {lit(c)}, {lit(s)})" for i, (t, c, s, _, _, fuzzy, _) in enumerate(L.DEMO_TERMS) if fuzzy and c not in off)
     allowed = ", ".join(lit(a) for a in L.DEMO_ALLOWED)
-    return f"""with {verdicts()},
+    near = "v.is_allowed and f.k is not null"
+    return f"""{verdicts(source, off, links, lexicon)},
       z(ord, term, category, severity) as (values {terms}),
       every as (select k, list_concat(list_concat({words('folded')}, {words('leet')}), list_concat({words('latin_arabic')}, {words('lower(homoglyphs)')})) as ts from bundle),
       u as (select k, lower(unnest(ts)) as t, unnest(range(len(ts))) as p from every),
@@ -278,14 +279,12 @@ def fuzzy_verdicts() -> str:
         from d, z where abs(length(t) - length(term)) <= 2),
       m as (select *, 1.0 - dist::double / longest as sim from x where dist <= most and (1.0 - dist::double / longest >= case when most = 1 then 0.8 else 0.75 end
         or (most = 1 and list_sort(string_split(t, '')) = list_sort(string_split(term, '')))) and 1.0 - dist::double / longest >= 0.75),
-      f as (select u.k, m.*, row_number() over (partition by u.k order by u.p, m.ord) as rn from u join m using (t))
-      select v.k as doc_id, v.is_allowed and f.k is null as is_allowed, case when v.is_allowed and f.k is null then 'ALLOW' else 'BLOCK' end as action,
-        case when v.is_allowed and f.k is not null then f.category else v.category end as category,
-        case when v.is_allowed and f.k is not null then f.severity else v.severity end as severity,
-        case when v.is_allowed and f.k is not null then round(f.sim, 2) else v.confidence end as confidence,
-        case when v.is_allowed and f.k is not null then 'RULE_BOUNDED_FUZZY' else v.rule_id end as rule_id,
-        case when v.is_allowed and f.k is not null then f.term else v.item end as item
-      from verdicts v left join f on f.k = v.k and f.rn = 1"""
+      f as (select u.k, m.*, row_number() over (partition by u.k order by u.p, m.ord) as rn from u join m using (t)),
+      complete as (select v.k, v.is_allowed and f.k is null as is_allowed, case when v.is_allowed and f.k is null then 'ALLOW' else 'BLOCK' end as action,
+        case when {near} then f.category else v.category end as category, case when {near} then f.severity else v.severity end as severity,
+        case when {near} then round(f.sim, 2) else v.confidence end as confidence, case when {near} then 'RULE_BOUNDED_FUZZY' else v.rule_id end as rule_id,
+        case when {near} then f.term else v.item end as item
+      from verdicts v left join f on f.k = v.k and f.rn = 1)"""
 
 
 def custom_lexicon() -> str:
@@ -319,13 +318,13 @@ SQL = {
     "phrase_hits": f"""select doc_id, item_id from documents d, benchmark b where contains(lower(d.text), lower(b.text))""",
     "lexicon_hits": f"with {bundle(DOCS)}, {hits()} {HIT_ROWS.format(layers='0, 5, 6, 7')}",
     "disguised_words": f"with {bundle(DOCS)}, {hits()} {HIT_ROWS.format(layers='3, 4')}",
-    "custom_terms": f"with {verdicts(lexicon=custom_lexicon())} select k as doc_id, action, item from verdicts",
-    "moderate_documents": f"with {verdicts()} select k as doc_id, * exclude (k), {MESSAGE} as message from verdicts",
-    "moderate_open_links": f"""with {verdicts(off=('profanity', 'insult', 'bullying'), links=False)}
-      select k as doc_id, action, category, rule_id from verdicts""",
-    "verdict_reuse": f"with {verdicts()} select k as doc_id, action, category, rule_id, item from verdicts",
-    "moderation_eval": f"""with {verdicts()}, e as (select d.lang, l.toxic = 1 as want, not v.is_allowed as got from documents d
-      join labels l using (doc_id) join verdicts v on v.k = d.doc_id), g as (select lang, count(*) as n, count(*) filter (want and got) as tp,
+    "custom_terms": f"with {complete(lexicon=custom_lexicon())} select k as doc_id, action, item from complete",
+    "moderate_documents": f"with {complete()} select k as doc_id, * exclude (k), {MESSAGE} as message from complete",
+    "moderate_open_links": f"""with {complete(off=('profanity', 'insult', 'bullying'), links=False)}
+      select k as doc_id, action, category, rule_id from complete""",
+    "verdict_reuse": f"with {complete()} select k as doc_id, action, category, rule_id, item from complete",
+    "moderation_eval": f"""with {complete()}, e as (select d.lang, l.toxic = 1 as want, not v.is_allowed as got from documents d
+      join labels l using (doc_id) join complete v on v.k = d.doc_id), g as (select lang, count(*) as n, count(*) filter (want and got) as tp,
       count(*) filter (not want and got) as fp, count(*) filter (want and not got) as fn, count(*) filter (not want and not got) as tn from e group by lang)
       select *, round(tp / nullif(tp + fp, 0)::double, 6) as precision, round(tp / nullif(tp + fn, 0)::double, 6) as recall from g""",
     "profanity_test": f"""with f as (select doc_id, {hash_fold('text')} as ch from documents), g as (select doc_id, trim({cap('ch')}, {SPACES}) as t from f),
@@ -364,12 +363,12 @@ SQL = {
         round(case when a = b then 1.0 else greatest(0.0, 1.0 - (case when abs(la - lb) > most or cut then most + 1 else v end) / greatest(la, lb)) end, 6) as similarity from e""",
     "sql_functions": f"""with b as (select doc_id, {hash_fold('text')} as ch from documents), c as (select *, trim({cap('ch')}, {SPACES}) as f from b)
       select doc_id, case when f = '' then '' else sha256(f) end as content, sha256(f || '_' || doc_id::varchar) as media from c""",
-    "envelope_verdicts": f"""with {verdicts('''select id || '/' || part as k, body as raw from (
+    "envelope_verdicts": f"""with {complete('''select id || '/' || part as k, body as raw from (
         select conv_id || '/' || turn as id, 0 as part, case when role <> 'user' then text end as body from conversations
         union all select conv_id || '/' || turn, 1, case when role = 'system' then text end from conversations
         union all select conv_id || '/' || turn, 2, case when role <> 'system' then text end from conversations) where coalesce(body, '') <> '' ''')},
       b as (select regexp_replace(k, '/[0-9]+$', '') as id, split_part(k, '/', 3)::int as part, category, item, confidence, case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end as score
-        from verdicts where not is_allowed),
+        from complete where not is_allowed),
       t as (select *, row_number() over (partition by id order by score desc, confidence desc, part) as rn from b)
       select e.id, case when t.id is null then 'ALLOW' else 'BLOCK' end as action, coalesce(t.category, 'none') as category, t.item as detected_item
       from (select conv_id || '/' || turn as id from conversations) e left join t on e.id = t.id and t.rn = 1""",
@@ -378,5 +377,5 @@ SQL = {
       case when not text_ok then 'text' when not media_ok then 'media' end as stopped_by from a""",
     # Equal to the swap distance unless letters are put between swapped ones.
     "fuzzy_tokens_long": _fuzzy_long(("worthless", "pathetic", "disgusting")),
-    "moderate_fuzzy": fuzzy_verdicts(),
+    "moderate_fuzzy": f"with {complete()} select k as doc_id, * exclude (k) from complete",
 }

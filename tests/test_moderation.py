@@ -130,5 +130,5 @@ def test_corpus_and_confusion(spark, lex, tmp_path):
 
 def test_filter_on_a_verdict_does_not_repeat_the_work(spark, lex):
     df = spark.createDataFrame([(1, "x")], "id int, text string")
-    plan = V.moderate(df, "id", "text", lex).where("not verdict.is_allowed")._jdf.queryExecution().optimizedPlan().toString()
+    plan = V.moderate(df, "id", "text", lex, fuzzy=False).where("not verdict.is_allowed")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("exists(array_distinct(array(raw_text") <= 2
