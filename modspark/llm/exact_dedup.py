@@ -169,8 +169,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Copies that go are few beside what stays, so they are taken away by an anti join on id and
-    digest. Rows repeated whole (same id and text) leave one.
+    Copies are taken away by an anti join on id and digest. Rows repeated whole (same id and text) leave one.
     """
     verdict = exact_dedup(docs, id_col, text_col)
     pairs = verdict.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
@@ -178,7 +177,8 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept"), "exact-odd").withColumnRenamed("kept", "__kept")
     marked = docs.withColumn("__digest", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
-    clear = marked.join(odd, on, "left_anti").drop("__digest")
+    # Sorted at every size: a side that is broadcast while small would make the plan change with the data.
+    clear = marked.join(odd.hint("merge"), on, "left_anti").drop("__digest")
     twins = odd.filter("__kept")
     if twins.isEmpty():
         return clear
