@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modspark.llm.base import pieces, staged
+from modspark.llm.base import pieces, staged, width
 from modspark.llm.graph import components
 
 #: Fingerprints that a tile is meant to hold, and comparisons made at once.
@@ -170,17 +170,21 @@ def links(distinct: DataFrame, radius: int, wide_radius: int, tile: int = TILE)
     for i, c in enumerate(classes[1:], 1):
         packed = packed + F.shiftleft(c, 12 * i)
     held = distinct.withColumn("kind", packed)
-    sizes = held.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / tile).alias("chunks"))
+    sizes = staged(held.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / tile).alias("chunks")), "tile-sizes")
     tiles = staged(
         held.join(sizes, "kind").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
         .groupBy("kind", "chunk").agg(*[F.collect_list(c).alias(c) for c in ("fp", "rest", "node")]), "tiles")
     steps = [sum(d << (12 * i) for i, d in enumerate(s)) for s in _steps(radius, span)]
     left = (
         tiles.select(*[F.col(c).alias(f"{c}_a") for c in ("chunk", "fp", "rest", "node", "kind")], F.explode(F.array(*[F.lit(x).cast("bigint") for x in steps])).alias("step"))
-        .withColumn("kind", F.col("kind_a") + F.col("step")))
+        .withColumn("kind", F.col("kind_a") + F.col("step")).join(sizes, "kind")
+        .withColumn("chunk_b", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .filter((F.col("step") != 0) | (F.col("chunk_a") <= F.col("chunk_b"))))
     right = tiles.select("kind", *[F.col(c).alias(f"{c}_b") for c in ("chunk", "fp", "rest", "node")])
+    # Comparing takes longer than the tiles' bytes tell: a fixed number of tasks, tile by tile of the right side.
+    parts, on = width(distinct.sparkSession), ["kind", "chunk_b"]
     pairs = (
-        left.join(right, "kind").filter((F.col("step") != 0) | (F.col("chunk_a") <= F.col("chunk_b")))
+        left.repartition(parts, *on).join(right.repartition(parts, *on), on)
         .select(((F.col("step") == 0) & (F.col("chunk_a") == F.col("chunk_b"))).alias("same"), *[f"{c}_{s}" for s in "ab" for c in ("fp", "rest", "node")]))
     return pairs.mapInArrow(lambda batches: compare(batches, radius, wide_radius), "a bigint, b bigint")
 
