@@ -31,7 +31,7 @@ SPACE = "▁"
 #: Stands for a U+2581 of the text itself; no piece has it.
 OWN_SPACE = 0x110000
 #: Bytes of text whose words are filtered together.
-TOGETHER = 3_000_000
+TOGETHER = 1_000_000
 SALT = 11
 
 
