@@ -79,7 +79,11 @@ def codes(texts: list[bytes | None], words: int, width: int) -> np.ndarray:
         runs = shingles(text, words)
         counts[i] = len(runs)
         found.append(b"".join([digest(r, SEED) for r in runs]))
-    hashes = np.frombuffer(b"".join(found), ">u8").astype(np.uint64)
+    return word_bits(np.frombuffer(b"".join(found), ">u8").astype(np.uint64), counts, width)
+
+
+def word_bits(hashes: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
+    """(runs, width) fingerprint words of runs of ``counts`` hashes."""
     return np.stack([majority(_mixed(hashes, w) if w else hashes, counts) for w in range(width)], axis=1)
 
 
@@ -217,11 +221,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with one row of each group, all their columns kept.
+    """The rows of ``docs`` with one row of each group, all their columns kept."""
+    return drop_odd(docs, near_dedup(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def drop_odd(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay by ``found`` (doc_id, digest, stays).
 
     A row is known by id and digest of its text; rows that share both leave one.
     """
-    verdict = near_dedup(docs, id_col, text_col, **options).groupBy("doc_id", "digest").agg(
+    verdict = found.groupBy("doc_id", "digest").agg(
         F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
     odd = staged(verdict.filter(~F.col("stays") | (F.col("n") > 1)).select(
         F.col("doc_id").alias("__id"), F.col("digest").alias("__odd"), F.col("stays").alias("__stays")), "simhash-odd")
