@@ -3,7 +3,8 @@ centroids per language, by cosine, with rejection by distance.
 
 Document frequencies are counted over all rows that may be learnt from. Centroids come from a
 bounded sample of them, ``sample`` rows of a language in expectation, each language's clustered in
-one task. Model and statistics are all that leaves the executors: a vector of ``DIMENSIONS``
+one task. The least similarities, below which texts are rejected, are taken over all rows again.
+Model and statistics are all that leaves the executors: a vector of ``DIMENSIONS``
 numbers per centroid, whatever the size of the corpus.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,10 @@ from modspark.llm.base import pieces, remainder
 DIMENSIONS = 1 << 13
 #: Centroids per language, rounds of clustering, and sampled rows per language (expected).
 CLUSTERS, ROUNDS, SAMPLE = 4, 8, 800
-#: A text is rejected below this share of the least similarity seen in training at its length.
+#: A text is rejected below this share of the least similarity seen at its length among all rows learnt from.
 SLACK = 0.5
+#: Length classes, and texts from which the bound of a class stands on its own.
+CLASSES, FEW = 32, 30
 UNKNOWN = "und"
 #: Bytes and rows that are made into vectors at once.
 BYTES, ROWS = 500_000, 256
@@ -103,17 +106,22 @@ class Model:
     owners: np.ndarray
     least: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(language, similarity, rejected) of each text."""
+    def nearest(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the language, similarity, length class, whether there is no letter) of each text."""
         raw = counts(texts)
         empty = raw.sum(axis=1) == 0
-        if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         like = vectors(raw, self.idf) @ self.centroids.T
         best = np.argmax(like, axis=1)
-        lang, score = self.owners[best], np.clip(like[np.arange(len(texts)), best].astype(float), 0, 1)
+        score = np.clip(like[np.arange(len(texts)), best].astype(float), 0, 1)
         score[empty] = 0
-        far = score < SLACK * self.least[lang, np.minimum(_length_class(raw), self.least.shape[1] - 1)]
+        return self.owners[best], score, np.minimum(_length_class(raw), CLASSES - 1), empty
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, similarity, rejected) of each text."""
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        lang, score, size, empty = self.nearest(texts)
+        far = score < SLACK * self.least[lang, size]
         return [UNKNOWN if e else self.langs[i] for i, e in zip(lang, empty, strict=True)], score, far | empty
 
 
@@ -141,24 +149,51 @@ def _centroids(idf: np.ndarray, clusters: int):
         raw = raw[raw.sum(axis=1) > 0]
         found = vectors(raw, idf)
         centres = cluster(found, clusters) if len(found) else found
-        least = np.ones(32)
-        if len(found):
-            like, sizes = (found @ centres.T).max(axis=1), _length_class(raw)
-            np.minimum.at(least, np.minimum(sizes, 31), like)
-            seen = np.bincount(np.minimum(sizes, 31), minlength=32) > 0
-            # A length without examples takes the next shorter one's bound; below all, none is rejected.
-            for i in range(32):
-                if not seen[i]:
-                    least[i] = least[i - 1] if i else 0.0
         lang = group["lang"][0].as_py()
         return pa.table({
             "lang": pa.array([lang] * len(centres), pa.string()),
-            "centroid": pa.array([c.astype(np.float32) for c in centres], pa.list_(pa.float32())),
-            "least": pa.array([least] * len(centres), pa.list_(pa.float64()))})
+            "centroid": pa.array([c.astype(np.float32) for c in centres], pa.list_(pa.float32()))})
 
     return learn
 
 
+def bounds(least: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Bounds per language and length class from the least similarities and the numbers of texts.
+
+    A class of fewer than FEW texts takes the next shorter one's bound if that is lower or it has no
+    text at all; the first such classes take the language's least. Below all texts none is rejected.
+    """
+    out = np.where(seen > 0, least, np.inf)
+    lowest = out.min(axis=1, initial=np.inf)
+    for i in range(out.shape[1]):
+        before = out[:, i - 1] if i else np.zeros(len(out))
+        begun = seen[:, :i].sum(axis=1) > 0
+        out[:, i] = np.where(seen[:, i] >= FEW, out[:, i], np.where(begun, np.minimum(out[:, i], before), np.where(seen[:, i] > 0, lowest, 0.0)))
+    return out
+
+
+def _least(rows: DataFrame, model: Model) -> np.ndarray:
+    """The model's bounds, from all rows: least similarity of those nearest to a language, by length class."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, seen = np.ones((len(held.value.langs), CLASSES)), np.zeros((len(held.value.langs), CLASSES), np.int64)
+        for batch in pieces(batches, "text", BYTES, ROWS):
+            lang, score, size, empty = held.value.nearest(batch.column("text").to_pylist())
+            np.minimum.at(least, (lang[~empty], size[~empty]), score[~empty])
+            np.add.at(seen, (lang[~empty], size[~empty]), 1)
+        at, size = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(size), pa.array(least[at, size]), pa.array(seen[at, size])], names=["lang", "size", "least", "n"])
+
+    found = (
+        rows.select("text").mapInArrow(step, "lang bigint, size bigint, least double, n bigint").groupBy("lang", "size")
+        .agg(F.min("least").alias("least"), F.sum("n").alias("n")).collect())  # one row per language and class
+    least, seen = np.ones((len(model.langs), CLASSES)), np.zeros((len(model.langs), CLASSES), np.int64)
+    for r in found:
+        least[r.lang, r["size"]], seen[r.lang, r["size"]] = r.least, r.n
+    return bounds(least, seen)
+
+
 def train(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Model:
     """A model from rows (text, lang). Null languages and texts are passed over."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
@@ -169,12 +204,13 @@ def train(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -
     lot = F.shiftrightunsigned(F.xxhash64("text", F.lit("sample")), 11) * F.lit(2.0**-53)
     # One row per language, as the model has: the texts need no shuffle to meet their count.
     drawn = rows.join(F.broadcast(sizes), "lang").filter(lot * F.col("__n") < sample).select("text", "lang")
-    learnt = drawn.groupBy("lang").applyInArrow(_centroids(idf, clusters), "lang string, centroid array<float>, least array<double>").collect()
+    learnt = drawn.groupBy("lang").applyInArrow(_centroids(idf, clusters), "lang string, centroid array<float>").collect()
     learnt.sort(key=lambda r: (r.lang, r.centroid))
     langs = tuple(sorted({r.lang for r in learnt}))
-    return Model(
+    model = Model(
         idf, langs, np.array([r.centroid for r in learnt], np.float32).reshape(-1, DIMENSIONS), np.array([langs.index(r.lang) for r in learnt], np.int64),
-        np.array([next(r.least for r in learnt if r.lang == x) for x in langs]).reshape(-1, 32))
+        np.zeros((len(langs), CLASSES)))
+    return replace(model, least=_least(rows, model)) if langs else model
 
 
 def predict(docs: DataFrame, model: Model, keep: dict[str, Column], text_col: str = "text") -> DataFrame:

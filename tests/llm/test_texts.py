@@ -55,6 +55,20 @@ def test_language_rejects_what_is_far(docs, spark):
     assert rejected.tolist() == [True, False]
 
 
+def test_no_document_learnt_from_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    strange = spark.createDataFrame([(-1, "ქართული ენა არის " * 50, None)], docs.schema)
+    known = {r.doc_id for r in docs.filter("lang is not null").collect() if any(c.isalpha() for c in r.text or "")}
+    kept = {r.doc_id for r in langid.known_language(docs.unionByName(strange)).select("doc_id").collect()}
+    assert not known - kept and -1 not in kept
+
+
+def test_bounds_of_rare_lengths():
+    least, seen = np.ones((1, 8)), np.zeros((1, 8), np.int64)
+    least[0, [2, 3, 5, 7]], seen[0, [2, 3, 5, 7]] = [0.3, 0.4, 0.95, 0.2], [1, 500, 3, 2]
+    assert langid.bounds(least, seen).tolist() == [[0, 0, 0.2, 0.4, 0.4, 0.4, 0.4, 0.2]]
+
+
 def awkward(n, seed):
     random.seed(seed)
     parts = [" ", "  ", "\n", "\t", "ab", "the", "ing", "é", "ß", "123", "!", "▁", "▁▁", "\x00", "\x1c", "\x85", "　", "😀", ".", "\r\n", "中", "x" * 30, "'s", "don't", "<|endoftext|>", "²", "a,", "b.;"]
