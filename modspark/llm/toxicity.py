@@ -23,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modspark.llm import near_dedup
 from modspark.llm.base import pieces, remainder, staged
 
 #: Labelled rows sampled per label (expected), and lexicon voters at most.
 SAMPLE, VOTERS = 8_000, 240
+#: Texts that are compared together when copies are looked for in the sample.
+COPIES_TILE = 1024
 #: Lengths of word beginnings that may vote.
 BEGINNINGS = (4, 5, 6)
 #: A term votes if so great a part of the labelled texts that have it are toxic, and if that is no chance: its G statistic
-#: beats what the best of the terms in LEAST toxic texts would reach by chance, 2 ln(terms); and if it is in this part of the toxic texts,
-#: as words are that one group of copies shares are not.
-PURE, PART, LEAST = 0.85, 0.015, 3
+#: beats what the best of the terms in LEAST toxic texts would reach by chance, 2 ln(terms).
+PURE, LEAST = 0.85, 3
 #: Score from which a text is called toxic.
 TOXIC = 0.3
 #: Tokens whose terms a worker remembers.
@@ -169,11 +171,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rate = {k: min(1.0, sample / n) for k, n in sizes.items()}
     lot = F.shiftrightunsigned(F.xxhash64("id", F.lit("sample")), 11) * F.lit(2.0**-53)
     few = known.filter(lot < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
-    drawn = staged(docs.join(F.broadcast(few), "id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic"), "toxic-drawn")
+    met = docs.join(F.broadcast(few), "id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    drawn = staged(met.withColumn("row", F.monotonically_increasing_id()), "toxic-drawn")
 
-    # Copies tell of themselves, not of toxic words: of texts with one smallest token hash, one of each label counts.
-    least = F.array_min(F.transform(F.split("text", r"\s+"), lambda t: F.xxhash64(t)))
-    apart = staged(drawn.withColumn("least", least).dropDuplicates(["least", "toxic"]).select("text", "toxic"), "toxic-sample")
+    # Copies tell of themselves, not of toxic words: of texts whose sets of words are alike, the least of each label counts.
+    groups = near_dedup.near_dedup(drawn, "row", words=1, tile=COPIES_TILE).select(F.col("doc_id").alias("row"), "component_id")
+    apart = staged(drawn.join(groups, "row").groupBy("component_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxic-sample")
     n = {0: 0.0, 1: 0.0} | {r.toxic: float(r.n) for r in apart.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
 
     seen = staged(
@@ -184,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     less = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * p))).otherwise(0.0)
     pure = F.col("toxic") / rate[1] / (F.col("toxic") / rate[1] + F.col("clean") / rate[0])
     top = (
-        seen.filter(~F.col("term").startswith("=") & (pure >= PURE) & (F.col("toxic") >= max(LEAST, PART * n[1])))
+        seen.filter(~F.col("term").startswith("=") & (pure >= PURE) & (F.col("toxic") >= LEAST))
         .filter(2 * (less("toxic", part) + less("clean", 1 - part)) >= 2 * math.log(max(1, seen.filter(F.col("toxic") >= LEAST).count())))
         .orderBy(F.desc("toxic"), "term").limit(VOTERS).collect())
     spots = {r.term: i for i, r in enumerate(top)}

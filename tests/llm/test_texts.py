@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from modspark.llm import dac, langid, piece_lattice, token_files, toxicity
@@ -161,6 +162,16 @@ def test_toxicity_of_held_out_documents(spark):
     assert hits / sum(toxic[r.doc_id] for r in held) > 0.85 and hits / sum(r.predicted for r in held) > 0.8
 
 
+def test_a_word_that_all_texts_share_makes_no_copies(spark):
+    # The word of least hash among many, so that no other word of the texts is likely to be below it.
+    header = spark.range(200_000).selectExpr("concat('h', id) as w").orderBy(F.xxhash64("w")).first().w
+    rng = random.Random(7)
+    rows = [(i, " ".join([header, *(f"w{rng.randrange(2000)}" for _ in range(30)), *["vile"] * (i % 4 == 0)])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    assert {r.doc_id: r.predicted for r in toxicity.score(docs, labels).collect()} == {i: int(i % 4 == 0) for i, _ in rows}
+
+
 def test_label_model_weighs_voters_by_accuracy():
     rng = np.random.default_rng(8)
     y = (rng.random(4000) < 0.2).astype(int)
