@@ -7,7 +7,7 @@
    where that is not enough by the one after it: its subtree is split over several groups.
 3. Every task sends its suffixes, cut at ``longest`` words and added up, to their groups. A group
    sorts them and builds its subtree on its own: equal suffixes are leaves, and a node of two words
-   counts what its leaves total.
+   counts what its leaves total (over all its groups, if it is split).
 4. Candidates, their cuts and what longer phrases hold are joins of nodes.
 """
 
@@ -28,6 +28,8 @@ from modspark.llm.word_blocks import LOWER, Codes, blocks, coded, flat, known_by
 
 #: Suffixes that a group is meant to hold, and groups' worth that one pair of words may fill before it is split.
 BUDGET, PAIR = 1_000_000, 8
+#: Parts in which a language's phrases are ranked before the last ranking.
+PARTS = 64
 #: Ends of pieces and white space, told apart after this.
 _TABLE = bytearray(LOWER)
 for _c in b".,;:!?\x0a\x0b\x0c\x0d":
@@ -127,7 +129,8 @@ def _send(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
                 continue
             back = np.argsort(ids)
             at = back[np.searchsorted(ids, a, sorter=back)]
-            group = group_of([a, b, c], flat(batch.column("low")[k])[at], flat(batch.column("span")[k])[at])
+            span = flat(batch.column("span")[k])[at]
+            group = 2 * group_of([a, b, c], flat(batch.column("low")[k])[at], span) + (span > PAIR)
             order = np.argsort(group, kind="stable")
             group = group[order]
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -140,7 +143,10 @@ def _send(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
 
 
 def subtree(group: pa.Table, bits: int, least: int) -> pa.Table:
-    """Nodes of two and three words of a group's subtree, read off its leaves; those of three with ``least`` or more."""
+    """Nodes of two and three words of a group's subtree, read off its leaves, with ``least`` occurrences or more.
+
+    In odd groups are the words whose pairs are split over groups: there all pairs are handed on, to be added up.
+    """
     dtype = np.uint32 if bits <= 32 else np.uint64
     sizes = group.column("rows").to_pylist()
     read = lambda name, kind: np.concatenate([unplaned(x, n, kind) for x, n in zip(group.column(name).to_pylist(), sizes, strict=True)])
@@ -148,6 +154,8 @@ def subtree(group: pa.Table, bits: int, least: int) -> pa.Table:
     order = np.lexsort(w[::-1])
     w, counts = summed([x[order] for x in w], counts[order])
     pairs, totals = summed(w[:2], counts)
+    if group.column("group")[0].as_py() % 2 == 0:
+        pairs, totals = [x[totals >= least] for x in pairs], totals[totals >= least]
     often = (counts >= least) & (w[2] > 0)
     columns = [np.concatenate([p, x[often]]).astype(np.int64) for p, x in zip([*pairs, np.zeros(len(totals), dtype)], w, strict=True)]
     return pa.table({"a": columns[0], "b": columns[1], "c": columns[2], "n": np.concatenate([totals, counts[often]])})
@@ -210,7 +218,10 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     second = F.when(F.col("c").isNotNull(), F.struct(_score("n", "f_ab", "f_c").alias("score"), F.lit(2).alias("k"), F.col("f_ab").alias("l"), F.col("f_c").alias("r")))
     scored = named.select(
         "lang", F.concat_ws(" ", "word_a", "word_b", "word_c").alias("phrase"), F.col("n").alias("a"), F.least(first, second).alias("best"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase"))
+    best = (F.desc("best.score"), F.desc("a"), "phrase")
+    first_of = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*best)).cast("bigint")
+    part = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    few = part.withColumn("rank", first_of("lang", "part")).filter(F.col("rank") <= top)
     return (
-        scored.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= top).join(sizes, "lang")
+        few.withColumn("rank", first_of("lang")).filter(F.col("rank") <= top).join(sizes, "lang")
         .select("lang", "rank", "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), F.col("size").alias("n"), F.col("best.score").alias("score")))
