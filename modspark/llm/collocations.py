@@ -70,9 +70,9 @@ def _code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_codes = np.concatenate(flat_codes) if flat_codes else np.empty(0, np.uint32)
         counts = np.bincount(all_codes, minlength=at)[2:]
         yield pa.RecordBatch.from_arrays([
-            pa.array([(part << 32) + i]), pa.array([all_codes.tobytes()], pa.binary()), pa.array([names], pa.list_(pa.string())),
+            pa.array([(part << 32) + i]), pa.array([planes(all_codes)], pa.binary()), pa.array([len(all_codes)]), pa.array([names], pa.list_(pa.string())),
             pa.array([[w.decode(errors="replace") for w in words]], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))],
-            names=["block", "codes", "lang", "word", "n"])
+            names=["block", "codes", "size", "lang", "word", "n"])
 
 
 def leaves(w: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -116,7 +116,7 @@ def _send(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
     dtype = np.uint32 if bits <= 32 else np.uint64
     for batch in batches:
         for k in range(batch.num_rows):
-            codes = np.frombuffer(batch.column("codes")[k].as_py(), np.uint32)
+            codes = unplaned(batch.column("codes")[k].as_py(), batch.column("size")[k].as_py(), np.uint32)
             place, ids = flat(batch.column("place")[k]), flat(batch.column("id")[k])
             size = max(int(codes.max(initial=0)), int(place.max(initial=0)) + 2) + 1
             table = np.zeros(size, dtype)
@@ -162,9 +162,9 @@ def subtree(group: pa.Table, bits: int, least: int) -> pa.Table:
 
 
 def words_of(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """Blocks of coded texts (block, codes, lang, word, n), written once."""
+    """Blocks of coded texts (block, codes, size, lang, word, n), written once."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    return staged(rows.mapInArrow(_code, "block bigint, codes binary, lang array<string>, word array<string>, n array<bigint>"), "phrase-blocks")
+    return staged(rows.mapInArrow(_code, "block bigint, codes binary, size bigint, lang array<string>, word array<string>, n array<bigint>"), "phrase-blocks")
 
 
 def nodes_of(coded_blocks: DataFrame, often: DataFrame, bits: int, least: int, budget: int) -> DataFrame:
@@ -172,7 +172,7 @@ def nodes_of(coded_blocks: DataFrame, often: DataFrame, bits: int, least: int, b
     groups = often.select("lang", "word", "id", F.floor(F.col("start") / budget).alias("low"), F.ceil(F.col("f") / budget).alias("span"))
     met = word_rows(coded_blocks, "lang", "word").join(groups, ["lang", "word"])
     known = known_by_block(met, "id", "low", "span")
-    sent = coded_blocks.select("block", "codes").join(known, "block").mapInArrow(
+    sent = coded_blocks.select("block", "codes", "size").join(known, "block").mapInArrow(
         lambda batches: _send(batches, bits), "group bigint, rows bigint, a binary, b binary, c binary, n binary")
     made = sent.groupBy("group").applyInArrow(lambda t: subtree(t, bits, least), "a bigint, b bigint, c bigint, n bigint")
     # Only pairs of words whose subtree was split come more than once.

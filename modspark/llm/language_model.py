@@ -59,7 +59,7 @@ def _code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.bincount(stream[np.repeat(train, lengths)], minlength=len(codes))
         yield pa.RecordBatch.from_arrays([
             pa.array([(part << 32) + i]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([train.tolist()], pa.list_(pa.bool_())),
-            pa.array([lengths], pa.list_(pa.int64())), pa.array([stream.tobytes()], pa.binary()),
+            pa.array([lengths], pa.list_(pa.int64())), pa.array([planes(stream)], pa.binary()),
             pa.array([list(codes)], pa.list_(pa.binary())), pa.array([seen], pa.list_(pa.int64()))],
             names=["block", "doc_id", "train", "lengths", "codes", "word", "n"])
 
@@ -238,8 +238,10 @@ def fitted(coded_blocks: DataFrame, known: Vocabulary) -> bytes:
     def prepare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                classes = known.classes(batch.column("word")[k].as_py())[np.frombuffer(batch.column("codes")[k].as_py(), np.uint32)]
-                key, count = examples_of(classes, flat(batch.column("lengths")[k]), flat(batch.column("train")[k]).astype(bool))
+                lengths = flat(batch.column("lengths")[k])
+                codes = unplaned(batch.column("codes")[k].as_py(), int(lengths.sum()), np.uint32)
+                classes = known.classes(batch.column("word")[k].as_py())[codes]
+                key, count = examples_of(classes, lengths, flat(batch.column("train")[k]).astype(bool))
                 if len(key):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([len(key)]), pa.array([planes(key)], pa.binary()), pa.array([planes(count.astype(np.int64))], pa.binary())], names=["rows", "key", "count"])
@@ -289,7 +291,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts
                 c[END] = known.ends
                 base = np.log10((c + 1) / base_total)
                 share = np.where(classes > FREQUENT, np.log10((c + 1) / known.totals[classes]), 0.0)
-                codes = np.frombuffer(row["codes"].as_py(), np.uint32)
+                codes = unplaned(row["codes"].as_py(), int(lengths.sum()), np.uint32)
                 tokens = classes[codes]
                 made = net.log_probabilities(*contexts(tokens, lengths), tokens) / math.log(10) + share[codes]
                 first = np.cumsum(lengths) - lengths

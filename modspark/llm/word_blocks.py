@@ -63,9 +63,8 @@ def word_rows(staged_blocks: DataFrame, *columns: str) -> DataFrame:
 
 
 def known_by_block(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row per block with the lists place and ``columns``; no longer than the block's different words."""
-    lists = rows.groupBy("block").agg(F.collect_list(F.struct("place", *columns)).alias("l"))
-    return lists.select("block", *[F.col(f"l.{c}").alias(c) for c in ("place", *columns)])
+    """One row per block with the lists place and ``columns`` (without nulls), in the same order; no longer than the block's different words."""
+    return rows.groupBy("block").agg(*[F.collect_list(c).alias(c) for c in ("place", *columns)])
 
 
 def flat(row: pa.Scalar) -> np.ndarray:
