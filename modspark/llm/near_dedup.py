@@ -1,17 +1,19 @@
 """Near dedup by exact similarity: texts link if their sets of word runs have a Jaccard similarity of ``SHARE`` or more.
 
-Fingerprints only propose pairs; every pair that may matter is verified on the sets themselves.
-Texts of equal sets are one node. A linked pair's set sizes differ by a quarter at most, so tiles
-are dealt by size and only neighbouring sizes meet. Two passes over the tile pairs:
-
-* the first proposes a spanning forest of the closest fingerprints; what is verified of it joins
-  nearly all copies, with no more rows than nodes per tile pair, however large a group is;
-* the second proposes every pair within the wide radius whose nodes are not joined yet.
-
-Whatever the passes propose, no pair links without its exact similarity. Pairs are lost only if
-their fingerprints differ in more than ``FIRST`` of the first 64 or ``WIDE`` of all 256 bits: at
-similarity 0.8 some 39 bits are expected to differ, give or take 6 (at most 48 for the smallest
-sets that can differ, of four and five runs).
+Fingerprints only propose pairs; every pair is verified on the sets themselves. Texts of equal sets
+are one node. A linked pair's set sizes differ by a quarter at most, so tiles are dealt by size and
+only neighbouring sizes meet.
+
+1. Each pair of tiles tells which nodes have a partner within the radii: never the pairs, whose number
+   grows with the square of a group of texts that look alike.
+2. The sets of those nodes alone are made again and brought together, cell by cell of a tile pair. The
+   task finds the pairs anew and verifies each whose nodes are not connected yet; it hands on a
+   spanning forest of the links, no more rows than nodes.
+
+No pair links without its exact similarity. Pairs are lost only if their fingerprints differ in more
+than ``FIRST`` of the first 64 or ``WIDE`` of all 256 bits: at similarity 0.8 some 39 bits are
+expected to differ, give or take 6 (at most 48 for the smallest sets that can differ, of four and
+five runs).
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modspark.llm.base import pieces, staged, width
@@ -33,8 +35,8 @@ from modspark.llm.simhash import AT_ONCE, SEED, TILE, drop_odd, shingles, word_b
 SHARE = (4, 5)
 #: Words of a fingerprint; bits that may differ in the first word, in all, and in all for sets under SMALL runs.
 WORDS, FIRST, WIDE, WIDE_SMALL, SMALL = 4, 24, 60, 72, 16
-#: Bits up to which a pair is likely to be verified.
-CLOSE = 32
+#: Nodes of either side that are verified together, and bytes of run hashes that a tile's nodes may have.
+CELL, TILE_BYTES = 2048, 64_000_000
 #: Sizes within this ratio share a class: a little over 5/4, so that linked sizes are one class apart at most.
 RATIO = 1.26
 
@@ -63,44 +65,16 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     return staged(rows.mapInArrow(step, "doc_id bigint, digest bigint, key binary, size bigint, fp bigint, rest binary"), "near")
 
 
-class Forest:
-    """Picks the edges of a spanning forest, those of least weight first among the ones given together."""
-
-    def __init__(self, nodes: int):
-        self.label = np.arange(nodes)
-
-    def pick(self, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Positions of the edges that join what was apart (Boruvka's rounds)."""
-        at, out = np.lexsort((np.arange(len(a)), weight)), []
-        while True:
-            p, q = self.label[a[at]], self.label[b[at]]
-            at, p, q = at[p != q], p[p != q], q[p != q]
-            if not len(at):
-                return np.concatenate(out) if out else np.empty(0, np.int64)
-            best = np.full(len(self.label), len(at))
-            np.minimum.at(best, p, np.arange(len(at)))
-            np.minimum.at(best, q, np.arange(len(at)))
-            live = np.flatnonzero(best < len(at))
-            chosen = best[live]
-            out.append(at[np.unique(chosen)])
-            up = np.arange(len(self.label))
-            up[live] = np.where(p[chosen] == live, q[chosen], p[chosen])
-            mutual = live[up[up[live]] == live]
-            up[mutual] = np.minimum(mutual, up[mutual])
-            while (up[up] != up).any():
-                up = up[up]
-            self.label = up[self.label]
-
-
 def _tile(row: dict, side: str) -> tuple[np.ndarray, ...]:
-    whole = [row[f"{c}_{side}"].values.to_numpy(zero_copy_only=False) for c in ("fp", "size", "node", "root")]
+    """fp, rest, size, node of a tile, by size."""
+    whole = [row[f"{c}_{side}"].values.to_numpy(zero_copy_only=False) for c in ("fp", "size", "node")]
     rest = np.frombuffer(b"".join(row[f"rest_{side}"].values.to_pylist()), np.uint64).reshape(len(whole[0]), -1)
     order = np.argsort(whole[1], kind="stable")
     return whole[0].astype(np.uint64)[order], rest[order], *[w[order] for w in whole[1:]]
 
 
-def _pairs(a: tuple, b: tuple, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Positions in the tiles, and bits that differ, of pairs within the radii whose sizes allow a link."""
+def _pairs(a: tuple, b: tuple, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in the tiles of pairs within the radii whose sizes allow a link."""
     (fa, ra, sa), (fb, rb, sb) = a[:3], b[:3]
     strip = max(1, AT_ONCE // max(1, len(fb)))
     for i in range(0, len(fa), strip):
@@ -118,33 +92,37 @@ def _pairs(a: tuple, b: tuple, same: bool) -> Iterator[tuple[np.ndarray, np.ndar
         bits = np.bitwise_count(fa[x] ^ fb[y]) + np.bitwise_count(ra[x] ^ rb[y]).sum(axis=1, dtype=np.int64)
         may = bits <= np.where(small < SMALL, WIDE_SMALL, WIDE)
         if may.any():
-            yield x[may], y[may], bits[may]
+            yield x[may], y[may]
 
 
-def propose(batches: Iterable[pa.RecordBatch], close: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes of each pair of tiles: a spanning forest of the close ones, or all whose roots differ."""
+def propose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each cell (CELL by CELL nodes of a tile pair) the nodes that have a partner within the radii in it."""
     for batch in batches:
         for k in range(batch.num_rows):
             row = {name: batch.column(name)[k] for name in batch.schema.names}
             same, a, b = row["same"].as_py(), _tile(row, "a"), _tile(row, "b")
-            offset = 0 if same else len(a[0])
-            forest = Forest(offset + len(b[0]))
-            for x, y, bits in _pairs(a, b, same):
-                if close:
-                    x, y, bits = x[bits <= CLOSE], y[bits <= CLOSE], bits[bits <= CLOSE]
-                    at = forest.pick(x, y + offset, bits)
-                else:
-                    at = np.flatnonzero(a[4][x] != b[4][y])
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(a[3][x[at]]), pa.array(b[3][y[at]])], names=["a", "b"])
-
-
-def proposed(nodes: DataFrame, close: bool, tile: int) -> DataFrame:
-    """a, b: pairs of ``nodes`` (node, root, size, fp, rest) to be verified."""
+            wide = -(-len(b[0]) // CELL)
+            found: dict[int, list[set]] = {}
+            for x, y in _pairs(a, b, same):
+                cell = x // CELL * wide + y // CELL
+                for c in np.unique(cell):
+                    sides = found.setdefault(int(c), [set(), set()])
+                    sides[0].update(np.unique(x[cell == c]).tolist())
+                    sides[1].update(np.unique(y[cell == c]).tolist())
+            for c, sides in found.items():
+                for left, tile, at in ((True, a, sides[0]), (False, b, sides[1])):
+                    node = tile[3][sorted(at)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f"{row['pair'].as_py()}/{c}"] * len(node)), pa.array([left] * len(node)), pa.array(node)], names=["cell", "left", "node"])
+
+
+def proposed(nodes: DataFrame, tile: int) -> DataFrame:
+    """cell, left, node: the ``nodes`` (node, size, fp, rest) that must be verified, side by side."""
     # Sets of up to three runs are equal or less alike than SHARE.
     held = nodes.filter(F.col("size") >= SHARE[0]).withColumn("kind", F.floor(F.log("size") / math.log(RATIO)).cast("bigint"))
-    sizes = staged(held.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / tile).alias("chunks")), "near-sizes")
-    names = ("fp", "rest", "size", "node", "root")
+    chunks = F.ceil(F.greatest(F.count(F.lit(1)) / tile, F.sum("size") * 8 / TILE_BYTES))
+    sizes = staged(held.groupBy("kind").agg(chunks.alias("chunks")), "near-sizes")
+    names = ("fp", "rest", "size", "node")
     tiles = staged(
         held.join(sizes, "kind").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
         .groupBy("kind", "chunk").agg(*[F.collect_list(c).alias(c) for c in names]), "near-tiles")
@@ -157,30 +135,84 @@ def proposed(nodes: DataFrame, close: bool, tile: int) -> DataFrame:
     parts, on = width(nodes.sparkSession), ["kind", "chunk_b"]
     pairs = (
         left.repartition(parts, *on).join(right.repartition(parts, *on), on)
-        .select(((F.col("step") == 0) & (F.col("chunk_a") == F.col("chunk_b"))).alias("same"), *[f"{c}_{s}" for s in "ab" for c in names]))
-    return staged(pairs.mapInArrow(lambda batches: propose(batches, close), "a bigint, b bigint"), "near-proposed")
+        .select(F.concat_ws("/", "kind", "step", "chunk_a", "chunk_b").alias("pair"),
+                ((F.col("step") == 0) & (F.col("chunk_a") == F.col("chunk_b"))).alias("same"), *[f"{c}_{s}" for s in "ab" for c in names]))
+    return staged(pairs.mapInArrow(propose, "cell string, left boolean, node bigint"), "near-cells")
+
 
+class Joined:
+    """Which of some nodes are known to be connected."""
 
-def alike(a: Column, b: Column) -> Column:
-    """Whether two arrays without repeats have a Jaccard similarity of SHARE or more; in whole numbers."""
-    both = F.size(F.array_intersect(a, b))
-    return both * SHARE[1] >= (F.size(a) + F.size(b) - both) * SHARE[0]
+    def __init__(self, nodes: int):
+        self.up = np.arange(nodes)
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        while (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+        return self.up[at]
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.roots(np.array([a, b]))
+        self.up[max(a, b)] = min(a, b)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """Those of the ``pairs`` whose sets are alike; sets are made again, of the nodes in pairs alone."""
+def verify(cell: pa.Table) -> pa.Table:
+    """Edges of a spanning forest of the cell's links: pairs within the radii whose sets are alike.
+
+    Each such pair is looked at unless its nodes are connected already. The shared runs of a node
+    and all its open partners are counted at once, in a table of the cell's runs.
+    """
+    is_left = cell.column("left").to_numpy(zero_copy_only=False).astype(bool)
+    sides = []
+    for side in (cell.filter(pa.array(is_left)), cell.filter(pa.array(~is_left))):
+        fp, size, node = (side.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "size", "node"))
+        rest = np.frombuffer(b"".join(side.column("rest").to_pylist()), np.uint64).reshape(len(fp), -1)
+        runs = [np.frombuffer(r, np.int64) for r in side.column("runs").to_pylist()]
+        order = np.lexsort((node, size))
+        sides.append((fp.astype(np.uint64)[order], rest[order], size[order], node[order], [runs[i] for i in order]))
+    a, b = sides
+    nodes, ends = np.unique(np.concatenate([a[3], b[3]]), return_inverse=True)
+    own_a, own_b = ends[:len(a[3])], ends[len(a[3]):]
+    known, codes = np.unique(np.concatenate([*a[4], *b[4]]), return_inverse=True)
+    first_a = np.cumsum(np.r_[0, a[2]])
+    first_b = np.cumsum(np.r_[0, b[2]])
+    codes_a, codes_b = codes[:first_a[-1]], codes[first_a[-1]:]
+    marked, joined, out = np.zeros(len(known), np.int64), Joined(len(nodes)), []
+    for x, y in _pairs(a, b, False):
+        for i in np.unique(x):
+            near = y[x == i]
+            near = near[joined.roots(own_b[near]) != joined.roots(own_a[i:i + 1])]
+            if not len(near):
+                continue
+            mine = codes_a[first_a[i]:first_a[i + 1]]
+            marked[mine] = 1
+            lengths = b[2][near]
+            starts = np.cumsum(lengths) - lengths
+            both = np.add.reduceat(marked[codes_b[np.repeat(first_b[near] - starts, lengths) + np.arange(lengths.sum())]], starts)
+            marked[mine] = 0
+            for j in near[both * SHARE[1] >= (a[2][i] + lengths - both) * SHARE[0]]:
+                p, q = own_a[i], own_b[j]
+                if len(np.unique(joined.roots(np.array([p, q])))) == 2:
+                    joined.join(p, q)
+                    out.append((nodes[p], nodes[q]))
+    return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
+
+
+def links(nodes: DataFrame, docs: DataFrame, text_col: str, words: int, tile: int) -> DataFrame:
+    """a, b: edges that connect the ``nodes`` whose sets are alike; sets are made again, of the proposed nodes alone."""
 
     def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            sets = [run_hashes(t, words).astype(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "runs"])
+            sets = [run_hashes(t, words).astype(np.int64).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "runs"])
 
-    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(met, "node", "left_semi").select("node", F.col("best.digest").alias("__digest"))
-    texts = docs.select(F.xxhash64(text_col).alias("__digest"), F.col(text_col).cast("binary").alias("text")).join(wanted, "__digest")
-    sets = staged(texts.select("node", "text").mapInArrow(step, "node bigint, runs array<bigint>").groupBy("node").agg(F.first("runs").alias("runs")), "near-sets")
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("runs").alias(f"runs_{s}"))
-    return staged(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike(F.col("runs_a"), F.col("runs_b"))).select("a", "b"), "near-links")
+    cells = proposed(nodes, tile)
+    wanted = nodes.join(cells.select("node").distinct(), "node", "left_semi")
+    texts = docs.select(F.xxhash64(text_col).alias("__digest"), F.col(text_col).cast("binary").alias("text")).join(
+        wanted.select("node", F.col("best.digest").alias("__digest")), "__digest")
+    sets = staged(texts.select("node", "text").mapInArrow(step, "node bigint, runs binary").groupBy("node").agg(F.first("runs").alias("runs")), "near-sets")
+    held = cells.join(wanted.select("node", "fp", "rest", "size").join(sets, "node"), "node")
+    return staged(held.groupBy("cell").applyInArrow(verify, "a bigint, b bigint"), "near-links")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, tile: int = TILE) -> DataFrame:
@@ -196,11 +228,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("best")
     nodes = staged(
         made.groupBy("key").agg(best, *[F.first(c).alias(c) for c in ("size", "fp", "rest")]).withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    rooted = lambda links: staged(
-        nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
-    sure = verified(proposed(nodes.withColumn("root", F.col("node")), True, tile), nodes, docs, text_col, words)
-    more = verified(proposed(rooted(sure), False, tile), nodes, docs, text_col, words)
-    grouped = rooted(sure.unionByName(more))
+    found = components(links(nodes, docs, text_col, words, tile))
+    grouped = staged(nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
     groups = grouped.groupBy("root").agg(F.min("best").alias("first"))
     return (
         made.join(grouped.join(groups, "root").select("key", "first"), "key")

@@ -3,8 +3,6 @@
 import itertools
 import random
 
-import numpy as np
-
 import corpus_pipeline
 from modspark.llm import near_dedup
 from tests.llm.test_dedup import ODD, Union
@@ -78,16 +76,22 @@ def test_near_odd_rows(spark):
     assert near_dedup.near_dedup(odd.limit(0)).count() == 0 and near_dedup.drop_near(odd.limit(0)).count() == 0
 
 
-def test_forest_joins_what_edges_join():
-    rng = np.random.default_rng(6)
-    for n, m in ((50, 30), (50, 400), (2000, 1500)):
-        forest, u, v = near_dedup.Forest(n), Union(), Union()
-        for _ in range(3):
-            a, b = rng.integers(0, n, m), rng.integers(0, n, m)
-            at = forest.pick(a, b, rng.integers(0, 5, m))
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                u.join(x, y)
-            for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True):
-                assert v.find(x) != v.find(y)
-                v.join(x, y)
-            assert [u.find(x) for x in range(n)] == [v.find(x) for x in range(n)]
+def test_look_alikes_that_do_not_link(spark, monkeypatch):
+    """A group whose fingerprints are close but whose sets are mostly not alike: what leaves a task grows with nodes, not pairs."""
+    monkeypatch.setattr(near_dedup, "CELL", 32)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = {i: " ".join(base[: 100 - i % 3] + [f"x{i % 90}_{k}" for k in range(22 + i % 3)]) for i in range(200)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(df).collect()} == components(texts)
+    made = near_dedup.fingerprints(df, "doc_id", "text", 5).withColumnRenamed("doc_id", "node")
+    cells = near_dedup.proposed(made, 10_000)
+    assert cells.count() == cells.distinct().count() <= 2 * len(texts) * (len(texts) // 32 + 1)
+    assert cells.select("node").distinct().count() == len(texts)
+
+
+def test_tiles_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE_BYTES", 3000)
+    made = crafted()
+    got = near_dedup.near_dedup(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(made)
