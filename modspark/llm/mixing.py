@@ -30,9 +30,13 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def draw(key: Column, seed: int) -> Column:
-    """A whole number of ``DRAW`` bits from the key (null counts as empty) and the seed."""
-    spelled = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
+def digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def draw(key: Column, text: Column, seed: int) -> Column:
+    """A whole number of ``DRAW`` bits from the key (null counts as empty), the text's digest and the seed."""
+    spelled = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), text)
     return F.conv(F.substring(F.md5(spelled), 1, DRAW // 4), 16, 10).cast("bigint")
 
 
@@ -60,16 +64,17 @@ def targets(sources: DataFrame, weights: DataFrame, share: float, max_epochs: fl
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5,
         max_epochs: float = 2.0, cycle: tuple[int, ...] = (5, 2, 1), seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken, repeats: one row per row of ``docs``.
+    """doc_id, size, source_size, target, taken, repeats, digest (of the text): one row per row of ``docs``.
 
     ``size`` is the number of words (null: 0); ``share`` times all sizes is shared out by weight, a
     source's target stops at ``max_epochs`` times its size. A null source is a source, last in the
-    order. Rows with one id share a draw, so they come or stay away together unless the cut falls
-    between them. Sources without words get target 0; an empty table gives no rows.
+    order. Rows that share an id (null, too) draw apart by their texts; of rows repeated whole some may
+    be taken and others not, whichever they are. Sources without words get target 0; an empty table gives no rows.
     """
     rows = staged(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"),
-        draw(F.col(id_col), seed).alias("draw")), "mix-rows")
+        digest(F.col(text_col)).alias("digest")).withColumn("draw", draw(F.col("doc_id"), F.col("digest"), seed))
+        .withColumn("row", F.monotonically_increasing_id()), "mix-rows")
     sources = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     plan = targets(sources, cyclic_weights(sources, cycle), share, max_epochs)
     plan = (
@@ -88,33 +93,41 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .filter((F.col("rest") > 0) & (F.col("upto") >= F.col("rest")))
         .groupBy("p.source").agg(F.min(F.struct("bucket", "upto", "held", "rest")).alias("x")).select("source", "x.*")
         .withColumn("before", F.col("upto") - F.col("held")))
-    inside = W.partitionBy("source").orderBy("draw", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("source").orderBy("draw", "doc_id", "row").rowsBetween(W.unboundedPreceding, 0)
     cut = (
         rows.alias("r").join(last.alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")) & (F.col("r.bucket") == F.col("l.bucket")))
-        .select("r.source", "r.draw", "r.doc_id", "r.size", "l.before", "l.rest")
+        .select("r.source", "r.draw", "r.doc_id", "r.row", "r.size", "l.before", "l.rest")
         .withColumn("upto", F.col("before") + F.sum("size").over(inside))
         .filter(2 * F.col("upto") - F.col("size") <= 2 * F.col("rest"))
-        .groupBy("source").agg(F.max(F.struct("draw", "doc_id")).alias("cut")))
+        .groupBy("source").agg(F.max(F.struct("draw", "doc_id", "row")).alias("cut")))
     limits = (
         plan.alias("p").join(last.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left")
         .join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left")
         .select("p.source", "source_size", "target", "whole", "cut", "bucket", (F.col("l.bucket").isNull() & (F.col("p.rest") > 0)).alias("all")))
-    one = F.struct(F.col("r.draw").alias("draw"), F.col("r.doc_id").alias("doc_id"))
+    one = F.struct(*[F.col(f"r.{c}").alias(c) for c in ("draw", "doc_id", "row")])
     more = F.coalesce(F.col("m.all") | (F.col("r.bucket") < F.col("m.bucket")) | (one <= F.col("m.cut")), F.lit(False))
     return (
         rows.alias("r").join(staged(limits, "mix-limits").alias("m"), F.col("r.source").eqNullSafe(F.col("m.source")))
         .withColumn("repeats", F.col("whole") + more.cast("bigint"))
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats"))
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", "digest"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (0, 1 or more times).
 
-    Rows that share an id are taken as often as the one taken most, so each id needs one verdict.
+    A row is known by its id and text. Rows that share both are taken as often as all of them
+    together; which of them stands for a repetition is not told apart.
     """
-    often = (
-        mix(docs, id_col, **options).groupBy("doc_id").agg(F.max("repeats").alias("__repeats"))
-        .withColumnRenamed("doc_id", "__id"))
-    joined = docs.join(often, F.col(id_col).eqNullSafe(F.col("__id")))
-    return joined.filter("__repeats > 0").withColumn(
-        "__turn", F.explode(F.array_repeat(F.lit(0), F.col("__repeats").cast("int")))).drop("__id", "__repeats", "__turn")
+    often = mix(docs, id_col, text_col, **options).groupBy("doc_id", "digest").agg(F.sum("repeats").alias("often"), F.count(F.lit(1)).alias("rows"))
+    # No column of the table can clash with these.
+    spare = {f"column_{i}": name for i, name in enumerate(docs.columns)}
+    kept = docs.select(*[F.col(f"`{old}`").alias(new) for new, old in spare.items()], F.col(id_col).alias("key"), digest(F.col(text_col)).alias("text_digest"))
+    joined = kept.join(often, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("text_digest") == F.col("digest"))).filter("often > 0")
+    # Rows repeated whole: the first of them by number take one repetition more where the sum doesn't divide.
+    turns = F.floor(F.col("often") / F.col("rows"))
+    alone = joined.filter("rows = 1 or often % rows = 0").withColumn("turns", turns)
+    twins = joined.filter("rows > 1 and often % rows != 0").withColumn(
+        "place", F.row_number().over(W.partitionBy("key", "text_digest").orderBy(*spare)))
+    both = alone.unionByName(twins.withColumn("turns", turns + (F.col("place") <= F.col("often") % F.col("rows")).cast("bigint")).drop("place"))
+    return both.filter("turns > 0").withColumn("turn", F.explode(F.array_repeat(F.lit(0), F.col("turns").cast("int")))).select(
+        *[F.col(new).alias(old) for new, old in spare.items()])

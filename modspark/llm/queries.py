@@ -27,7 +27,7 @@ QUERIES = {
     "op3_simhash": lambda spark, folder: simhash.near_dedup(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id"),
     "op4_sharding": lambda spark, folder: sharding.shard(table(spark, folder, "documents")),
     "op5_token_files": lambda spark, folder: token_files.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
-    "op6_mixing": lambda spark, folder: mixing.mix(table(spark, folder, "documents")).drop("repeats"),
+    "op6_mixing": lambda spark, folder: mixing.mix(table(spark, folder, "documents")).drop("repeats", "digest"),
     "op7_suffix_dedup": lambda spark, folder: suffix_dedup.repeats(table(spark, folder, "documents")),
     "op8_toxicity": lambda spark, folder: toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels")),
     "op9_embedding_dedup": lambda spark, folder: embedding_dedup.near_dedup(table(spark, folder, "embeddings")),
@@ -41,7 +41,7 @@ SQL = {
     "op6_mixing": r"""
 with rows as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-    ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as draw from documents),
+    ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 15))::bigint as draw from documents),
 sources as (
   select source, sum(size)::bigint as source_size, 2.0::double * sum(size) as cap,
     [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight from rows group by source),

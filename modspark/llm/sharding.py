@@ -17,8 +17,8 @@ from pyspark.sql.window import Window as W
 
 from modspark.llm.base import staged
 
-#: Shape of a full region.
-RACKS, SHARDS_PER_RACK = 3, 4
+#: Shape of a full region, and shards that are laid out in full regions; each further one has a region of its own.
+RACKS, SHARDS_PER_RACK, LAID_OUT = 3, 4, 24
 #: Rows that one numbering group is meant to hold, and the least number of groups of a shard.
 GROUP, LEAST_GROUPS = 100_000, 16
 
@@ -32,9 +32,14 @@ class Shard:
 
 
 def spread(shards: int) -> list[Shard]:
-    """A tree of equal shards: four to a rack, three racks to a region."""
+    """The tree of so many equal shards: four to a rack, three racks to a region, up to ``LAID_OUT``;
+    beyond, the tree of one shard fewer, grown by one. So id and shard count alone decide, and from
+    ``LAID_OUT`` on one more shard takes rows only into itself."""
     size = RACKS * SHARDS_PER_RACK
-    return [Shard(i, f"region{i // size}", f"rack{i % size // SHARDS_PER_RACK}") for i in range(shards)]
+    tree = [Shard(i, f"region{i // size}", f"rack{i % size // SHARDS_PER_RACK}") for i in range(min(shards, LAID_OUT))]
+    while len(tree) < shards:
+        tree = grown(tree)
+    return tree
 
 
 def grown(tree: list[Shard], weight: float = 1.0) -> list[Shard]:
@@ -90,7 +95,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree:
 
     The key (any id, null too) and the tree decide, so rows with one id share a shard. ``size`` is
     the text's bytes plus 8; a null text has no bytes, its crc32 is 0. Slots count 0, 1, 2 ... in
-    each shard by (group, id, crc32); rows repeated whole take neighbouring slots. No rows in,
+    each shard by (group, id, crc32); groups are hashed from id, crc32 and size, so that rows that share
+    an id alone (null, too) spread; rows repeated whole take neighbouring slots. No rows in,
     no rows out.
 
     A shard is numbered in hashed groups of bounded size, each shifted by the sizes of the groups
@@ -104,7 +110,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree:
     rows = place(rows, F.col("doc_id"), tree, "shard")
     rows = staged(place(rows, F.col("doc_id"), grown(tree), "grown_shard"), "shards")
     groups = max(LEAST_GROUPS, math.ceil(rows.count() / len(tree) / GROUP))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(groups)))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit("slot")), F.lit(groups)))
     along = W.partitionBy("shard").orderBy("group").rowsBetween(W.unboundedPreceding, -1)  # one row per group
     starts = (
         rows.groupBy("shard", "group").agg(F.count(F.lit(1)).alias("n"))

@@ -43,9 +43,8 @@ class Encoder:
     UNEVEN = re.compile(r" (?=\s|$)")
     CUT = re.compile(r" (?=\S)")
     ODD = re.compile(r"[\x1c-\x1f\x85]")
-    #: A space and letters are one piece to the model; letters and the punctuation behind them are always cut apart.
-    LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-    ENDED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
+    #: Letters are cut apart from the punctuation behind them.
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,16 +56,15 @@ class Encoder:
         # Byte-level models spell a byte as itself if that is visible, else as the next letter from 256 on.
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
         self.spelling = {b: 256 + i for i, b in enumerate(hidden)}
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
+        self.space = chr(self.spelling[32])
+        self.known, self.ends = _Known(self), {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _piece(self, word: str) -> bytes:
-        """Ids of a space and ``word``, which is letters only: the model's merges without its cutting."""
-        spelled = f" {word}".encode().decode("latin-1").translate(self.spelling)
+        """Ids of a space and ``word``, which is letters only: one piece, so the model's merges without its cutting."""
+        spelled = self.space + word if word.isascii() else f" {word}".encode().decode("latin-1").translate(self.spelling)
         return array.array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
 
     def _cut(self, text: str) -> list[str] | None:
@@ -75,46 +73,48 @@ class Encoder:
         words = self.CUT.split(text) if self.UNEVEN.search(text) else text.split(" ")
         return words
 
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of all ``words``, each behind a space, into ``known``."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.before, self.ends = {}, self.known, {}
-        fresh = set()
-        for w in words:
-            if w in self.known:
-                continue
-            if w in self.before:
-                self.known[w] = self.before[w]
-            else:
-                fresh.add(w)
-        ended = {w: m.groups() for w in fresh if (m := self.ENDED.fullmatch(w))}
-        asked = (fresh - ended.keys()) | {base for base, _ in ended.values() if base not in self.known}
-        plain = [w for w in asked if self.LETTERS.fullmatch(w)]
-        self.known.update(zip(plain, map(self._piece, plain), strict=True))
-        other = list(asked.difference(plain))
-        self.known.update(zip(other, self._ask([f" {w}" for w in other]), strict=True))
-        tails = list({tail for _, tail in ended.values() if tail not in self.ends})
-        self.ends.update(zip(tails, self._ask(tails), strict=True))
-        for w, (base, tail) in ended.items():
-            self.known[w] = self.known[base] + self.ends[tail]
+    def ids(self, word: str) -> bytes:
+        """Ids of ``word`` behind a space."""
+        plain = self.PLAIN.fullmatch(word)
+        if plain is None:
+            return self._ask([f" {word}"])[0]
+        letters, tail = plain.groups()
+        if not tail:
+            return self._piece(letters)
+        if tail not in self.ends:
+            if len(self.ends) > REMEMBERED:
+                self.ends = {}
+            self.ends[tail] = self._ask([tail])[0]
+        return self.known[letters] + self.ends[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        self.known.renew()
         cut = [self._cut(t) for t in texts]
         heads = self._ask([w[0] if w else t for w, t in zip(cut, texts, strict=True)])
-        fresh: set[str] = set()
-        for words in cut:
-            fresh.update(words[1:] if words else ())
-        self._learn(fresh)
-        out = [head + b"".join(map(self.known.__getitem__, words[1:])) if words else head for head, words in zip(heads, cut, strict=True)]
-        for w in fresh:
-            if len(w) > LONGEST:
-                self.forget(w)
-        return out
-
-    def forget(self, word: str) -> None:
-        for w in (word, word.rstrip(".,;:!?")):
-            self.known.pop(w, None)
+        of = self.known.__getitem__
+        return [head + b"".join(map(of, words[1:])) if words else head for head, words in zip(heads, cut, strict=True)]
+
+
+class _Known(dict):
+    """Ids of words as they are met, in two generations; words that are too long are not kept."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.before = encoder, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.encoder.ids(word)
+        if len(word) <= LONGEST:
+            self[word] = ids
+        return ids
+
+    def renew(self) -> None:
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
 
 
 @functools.cache

@@ -89,7 +89,7 @@ def label_model(fired: np.ndarray, labels: np.ndarray, weights: np.ndarray, roun
     meaning; the rest of the evidence is the votes alone.
     """
     votes = fired.astype(np.float64)
-    prior = float((weights * labels).sum() / weights.sum())
+    prior = float((weights * labels).sum() + 0.5) / float(weights.sum() + 1)
     p, share = labels.astype(np.float64), np.ones(votes.shape[1])
     for r in range(rounds):
         on, off = weights * (p + anchor * labels), weights * (1 - p + anchor * (1 - labels))
@@ -203,8 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     found = drawn.select("text", "toxic").mapInArrow(votes, "toxic int, found array<int>").collect()  # bounded by the sample
     found.sort(key=lambda r: (r.toxic, r.found))
-    if not found:
-        return one_sided
+    if (met := {r.toxic for r in found}) != {0, 1}:  # labels of one kind, or none, have a text
+        return Model({}, np.array([0.0, 0.0, 30.0 if met == {1} else -30.0]), 0)
     fired = features([set(r.found) for r in found], len(spots), lexicon)
     weights = np.array([1 / rate[r.toxic] for r in found])
     posterior = label_model(fired, np.array([r.toxic for r in found]), weights / weights.mean())

@@ -190,3 +190,13 @@ def test_toxicity_odd_rows(spark, odd):
         rows = toxicity.score(odd, some).collect()
         assert len(rows) == len(ODD) and len({r.score for r in rows if r.doc_id in (7, 8)}) == 1
     assert toxicity.score(odd.limit(0), labels).count() == 0
+
+
+def test_labels_of_one_kind_meet_texts(spark):
+    """Labels of both kinds, of which only one has documents, or none has: no crash, one answer for all."""
+    docs = spark.createDataFrame([(i, f"some text {i % 9}") for i in range(40)], "doc_id long, text string")
+    for toxic, answer in ((1, 1), (0, 0), (None, 0)):
+        near = [(i, toxic) for i in range(40)] if toxic is not None else []
+        far = [(1000 + i, t) for i in range(40) for t in (0, 1) if t != toxic]
+        rows = toxicity.score(docs, spark.createDataFrame(near + far, "doc_id long, toxic int")).collect()
+        assert len(rows) == 40 and {r.predicted for r in rows} == {answer}
