@@ -11,6 +11,7 @@ from modspark.functions.register import register
 from modspark.operators import lexicon as L
 from modspark.operators import phrases as P
 from modspark.operators import rules as R
+from modspark.operators import term_table as TT
 from modspark.operators import verdict as V
 
 KEY = b"demo master key, never a real one"
@@ -98,6 +99,25 @@ def lexicon_hits(spark, sf):
     return _hit_rows(spark, sf, (0, 5, 6, 7))
 
 
+def part_lexicon(spark, sf) -> DataFrame:
+    """S4 as a table: words of part names as words and stems, whole names as phrases, and the long
+    words of the benchmark; ``ord`` and kind follow from the term alone."""
+    names = table(spark, sf, "part").select(F.lower("p_name").alias("term"))
+    words = names.select(F.explode(F.split("term", " ")).alias("term"))
+    said = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term")).where(F.length("term") >= 13)
+    kind = F.element_at(F.array(*map(F.lit, ("stem", "exact", "legacy"))), (F.length("term") % 3 + 1).cast("int"))
+    terms = words.unionByName(said).where("term != ''").distinct().withColumn("kind", kind).unionByName(names.distinct().withColumn("kind", F.lit("phrase")))
+    return terms.select(
+        F.conv(F.substring(F.md5(F.concat("kind", "term")), 1, 7), 16, 10).cast("int").alias("ord"), "term",
+        F.when(F.col("kind") == "phrase", "harassment").otherwise("insult").alias("category"), F.lit("medium").alias("severity"), "kind",
+        F.lit("en").alias("script"), F.lit(False).alias("fuzzy"), F.lit(False).alias("critical"))
+
+
+def table_lexicon(spark, sf):
+    hits = TT.table_hits(documents(spark, sf), "doc_id", "text", part_lexicon(spark, sf), L.DEMO_ALLOWED, L.HARD_TERMS)
+    return hits.groupBy("doc_id", "rule_id", "term").agg(F.min_by("item", F.struct("variant", "ord")).alias("item"))
+
+
 def disguised_words(spark, sf):
     return _hit_rows(spark, sf, (3, 4))
 
@@ -233,6 +253,6 @@ def publish_gate(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     moderate_documents, normalize_bundle, char_ngrams, content_fingerprint, escaped_cards, redact_text, link_scan, pii_scan,
-    phrase_hits, lexicon_hits, disguised_words, custom_terms, profanity_test, moderate_open_links, moderate_fuzzy,
+    phrase_hits, lexicon_hits, table_lexicon, disguised_words, custom_terms, profanity_test, moderate_open_links, moderate_fuzzy,
     verdict_reuse, moderation_eval, noisy_recall, fuzzy_tokens, fuzzy_tokens_long, word_distances, signal_fusion,
     signal_reasons, policy_filter, envelope_verdicts, publish_gate, sql_functions)}

@@ -294,6 +294,17 @@ def custom_lexicon() -> str:
       select {n}, lower(n_name), lower(n_name), lower(n_name), 'profanity', 'high', 'stem', 'en', false from nation)"""
 
 
+def part_lexicon() -> str:
+    collapsed = collapse("string_split(term, '')")
+    return f"""names as (select distinct lower(p_name) as term from part),
+      said as (select unnest(string_split(term, ' ')) as term from names
+        union all select w from (select unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) as w from benchmark) where length(w) >= 13),
+      kinds as (select term, ['stem', 'exact', 'legacy'][length(term) % 3 + 1] as kind from (select distinct term from said where term <> '')
+        union all select term, 'phrase' from names),
+      lex as materialized (select ('0x' || substr(md5(kind || term), 1, 7))::int as ord, term, term as folded, {collapsed} as collapsed,
+        case kind when 'phrase' then 'harassment' else 'insult' end as category, 'medium' as severity, kind, 'en' as script, false as critical from kinds)"""
+
+
 SQL = {
     "normalize_bundle": f"""with {bundle(DOCS)} select k as doc_id, {', '.join(f'md5({s}) as {s}' for s in STRINGS)},
       md5(array_to_string(list_sort(tokens), ' ')) as tokens,
@@ -317,6 +328,7 @@ SQL = {
       null::varchar as place, {pii_category('text')} as category from documents""",
     "phrase_hits": f"""select doc_id, item_id from documents d, benchmark b where contains(lower(d.text), lower(b.text))""",
     "lexicon_hits": f"with {bundle(DOCS)}, {hits()} {HIT_ROWS.format(layers='0, 5, 6, 7')}",
+    "table_lexicon": f"with {bundle(DOCS)}, {hits(part_lexicon())} {HIT_ROWS.format(layers='0, 5, 6, 7')}",
     "disguised_words": f"with {bundle(DOCS)}, {hits()} {HIT_ROWS.format(layers='3, 4')}",
     "custom_terms": f"with {complete(lexicon=custom_lexicon())} select k as doc_id, action, item from complete",
     "moderate_documents": f"with {complete()} select k as doc_id, * exclude (k), {MESSAGE} as message from complete",
