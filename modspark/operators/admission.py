@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from modspark.durable import cut
 from modspark.functions.times import SECOND, from_micros
 from modspark.operators import timeline as L
+from modspark.operators.cooldown import cooldown
 
 HOUR = 3600 * SECOND
 
@@ -75,118 +75,7 @@ def duplicates(df: DataFrame, fingerprint: list[str], order: str, span: int = 30
     return seen.withColumn("duplicate", F.size("recent") > 0).drop("recent")
 
 
-# --- cooldown ---------------------------------------------------------------------
-
-SMALL = 512  # rows of a slice that are worth handling as one array
-
-
-def _big_steps(wait: int, closed: bool):
-    """Step table of a crowded slice: the last time accepted in it, for every time from
-    which a chain may enter.  Linear in the rows."""
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(pdf["us"].to_numpy())
-        following = np.searchsorted(us, us + wait, side="left" if closed else "right")
-        final = np.arange(len(us))
-        for i in range(len(us) - 1, -1, -1):
-            if following[i] < len(us):
-                final[i] = final[following[i]]
-        entries = int(np.searchsorted(us, us[0] + wait, side="left")) + 1
-        entry, leave = us[:entries], us[final[:entries]]
-        keep = np.append(leave[1:] != leave[:-1], True)
-        head = {c: [pdf[c].iloc[0]] * int(keep.sum()) for c in pdf.columns if c not in ("us", "first_id")}
-        return pd.DataFrame({**head, "reach": entry[keep], "exit": leave[keep]})
-    return work
-
-
-def _big_decide(wait: int, closed: bool):
-    """Decisions of a crowded slice, given the last time accepted before it."""
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us")
-        gap, last = (wait if closed else wait + 1), pdf["before_us"].iloc[0]
-        last = None if pd.isna(last) else int(last)
-        taken, seen = [], []
-        for us in pdf["us"]:
-            free = last is None or us >= last + gap
-            taken.append(free)
-            seen.append(last)
-            last = int(us) if free else last
-        out = pdf.drop(columns=["slice", "before_us"])
-        return out.assign(taken=taken, last_us=pd.array(seen, dtype="Int64"))
-    return work
-
-
-def cooldown(df: DataFrame, keys: list[str], order: str, wait: int, closed: bool = True,
-             slice_waits: int = 8, small: int = SMALL) -> DataFrame:
-    """Accept a row when at least ``wait`` passed since the last accepted row of the
-    key; rejected rows do not reset the clock.  Adds accepted and wait_s (seconds left,
-    rounded up by one as the reference counts).  With ``closed=False`` exactly ``wait``
-    is still too early (the exact form of W6).
-
-    The rule depends on all earlier decisions, yet a slice of time maps "when was a row
-    last accepted before me" to "when is one last accepted in me" through a small step
-    table.  The tables are made slice by slice in parallel, chained per key (a few steps
-    per slice), and each slice is then decided on its own.  Rows of one moment are
-    reduced to one first.  Slices of up to ``small`` moments stay in the JVM as arrays;
-    more crowded ones are handled as columns of numbers.
-    """
-    width = wait * slice_waits
-    sliced = df.withColumn("slice", F.floor(F.col("us") / F.lit(width)).cast("bigint"))
-    types = {f.name: f.dataType.simpleString() for f in sliced.schema.fields}
-    key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    gap = F.lit(wait) if closed else F.lit(wait + 1)
-    points = sliced.groupBy(*keys, "slice", "us").agg(F.min(order).alias("first_id"))
-    sizes = points.groupBy(*keys, "slice").agg(
-        F.count(F.lit(1)).alias("size"), F.min("us").alias("opens"), F.max("us").alias("closes"))
-    crowded = points.join(sizes.where(F.col("size") > small).select(*keys, "slice"), [*keys, "slice"])
-    lines = points.join(sizes.where(F.col("size") <= small).select(*keys, "slice"), [*keys, "slice"]).groupBy(*keys, "slice").agg(
-        F.sort_array(F.collect_list(F.struct("us", "first_id"))).alias("line"))
-
-    # Step tables: where a chain entering at or before ``reach`` leaves the slice.
-    def leave(line: Column, entry: Column) -> Column:
-        return F.aggregate(line, entry["us"], lambda last, p: F.when(p["us"] >= last + gap, p["us"]).otherwise(last))
-
-    # A chain enters within one wait of the first row, or at the row after that.
-    line = F.col("line")
-    entries = F.filter(line, lambda p, i: (i == 0) | (F.get(line, i - 1)["us"] < line[0]["us"] + wait))
-    steps = lines.select(*keys, "slice", F.transform(
-        entries, lambda e: F.struct(e["us"].alias("reach"), leave(F.col("line"), e).alias("exit"))).alias("steps"))
-    big = crowded.groupBy(*keys, "slice").applyInPandas(
-        _big_steps(wait, closed), f"{key_ddl}, slice bigint, reach bigint, exit bigint")
-    steps = steps.unionByName(big.groupBy(*keys, "slice").agg(
-        F.sort_array(F.collect_list(F.struct("reach", "exit"))).alias("steps")))
-
-    # Chain per key, over one short row per slice.
-    row = F.struct("slice", "steps")
-    chained = steps.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("slices"))
-
-    def walk(acc: Column, part: Column) -> Column:
-        entry = F.get(F.filter(part["steps"], lambda s: acc["last"].isNull() | (s["reach"] >= acc["last"] + gap)), F.lit(0))
-        told = F.struct(part["slice"].alias("slice"), acc["last"].alias("before_us"))
-        return F.struct(F.coalesce(entry["exit"], acc["last"]).alias("last"), F.concat(acc["out"], F.array(told)).alias("out"))
-
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<slice:bigint,before_us:bigint>>").alias("out"))
-    before = chained.select(*keys, F.inline(F.aggregate("slices", start, walk, lambda a: a["out"])))
-
-    # Decisions.
-    def step(acc: Column, point: Column) -> Column:
-        free = acc["last"].isNull() | (point["us"] >= acc["last"] + gap)
-        told = F.struct(point["us"].alias("us"), point["first_id"].alias("first_id"), free.alias("taken"),
-                        acc["last"].alias("last_us"))
-        return F.struct(F.when(free, point["us"]).otherwise(acc["last"]).alias("last"),
-                        F.concat(acc["out"], F.array(told)).alias("out"))
-
-    told_type = f"array<struct<us:bigint,first_id:{types[order]},taken:boolean,last_us:bigint>>"
-    start = F.struct(F.col("before_us").alias("last"), F.array().cast(told_type).alias("out"))
-    told = lines.join(before, [*keys, "slice"]).select(
-        *keys, F.inline(F.aggregate("line", start, step, lambda a: a["out"])))
-    told = told.unionByName(crowded.join(before, [*keys, "slice"]).groupBy(*keys, "slice").applyInPandas(
-        _big_decide(wait, closed), f"{key_ddl}, us bigint, first_id {types[order]}, taken boolean, last_us bigint"))
-    own = F.col("taken") & (F.col(order) == F.col("first_id"))
-    rest = F.lit(wait) - (F.col("us") - F.when(F.col("taken"), F.col("us")).otherwise(F.col("last_us")))
-    return sliced.join(told, [*keys, "us"]).withColumn("accepted", own).withColumn(
-        "wait_s", F.when(~own, F.floor(rest / F.lit(SECOND)).cast("bigint") + 1)
-    ).drop("slice", "first_id", "taken", "last_us")
-
+SMALL = 512  # rows of a run that are worth handling as one array
 
 # --- lockout ------------------------------------------------------------------------
 

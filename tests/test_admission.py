@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from modspark.functions.times import SECOND
 from modspark.operators import admission as A
+from modspark.operators import cooldown as C
 from modspark.streaming import keyed as S
 
 MESSAGE = "user string, id bigint, us bigint"
@@ -83,13 +84,28 @@ def test_random_streams_match_a_simulation(spark, seed):
     check(A.hourly_quota(df, "user", "id", 5, 100 * SECOND), ["quota_ok", "quota_count"], S.quota_rule(5, 100 * SECOND))
     check(A.cooldown(df, ["user"], "id", wait), ["accepted", "wait_s"], S.cooldown_rule(wait))
     check(A.cooldown(df, ["user"], "id", wait, closed=False, slice_waits=2), ["accepted"], S.cooldown_rule(wait, closed=False))
-    check(A.cooldown(df, ["user"], "id", wait, small=3), ["accepted", "wait_s"], S.cooldown_rule(wait))
-    check(A.cooldown(df, ["user"], "id", wait, closed=False, small=0), ["accepted", "wait_s"], S.cooldown_rule(wait, closed=False))
+    check(A.cooldown(df, ["user"], "id", wait, slice_waits=1, fan=3), ["accepted", "wait_s"], S.cooldown_rule(wait))
+    check(A.cooldown(df, ["user"], "id", wait, closed=False, slice_waits=1, fan=2), ["accepted", "wait_s"], S.cooldown_rule(wait, closed=False))
     check(A.strikes(df, "user", "id", span), ["strike", "mute_minutes"], S.strike_rule(span))
     check(A.lockout(df, "user", "id", "flag", 3, span), ["outcome"], S.lockout_rule(3, span))
     check(A.lockout(df, "user", "id", "flag", 3, span, small=5, part=400), ["outcome"], S.lockout_rule(3, span))
 
 
+def test_cooldown_of_a_hot_key(spark, monkeypatch):
+    """One key with half of all rows over many slices and rounds of the tree; null keys, null times, moments that repeat."""
+    monkeypatch.setattr(C, "AT_ONCE", 300)
+    times = sorted((i * 7919 % 60_000) * SECOND // 4 for i in range(6000))
+    stream = [(("hot", None, "a", "b")[0 if i % 2 else 1 + i % 3], i, us // 3 * 3, i % 3 == 0) for i, us in enumerate(times)]
+    for wait, closed, fan in ((3 * SECOND, True, 4), (SECOND // 2, False, 2), (400 * SECOND, True, 512)):
+        df = spark.createDataFrame(stream, MESSAGE + ", flag boolean").repartition(5)
+        got = {r.id: (r.accepted, r.wait_s) for r in A.cooldown(df, ["user"], "id", wait, closed=closed, slice_waits=2, fan=fan).collect()}
+        want = simulate([(str(u), *rest) for u, *rest in stream], S.cooldown_rule(wait, closed=closed))
+        assert got == {i: w[:2] for i, w in want.items()}
+    timeless = spark.createDataFrame([("a", 1, None, True), (None, 2, 5, True)], MESSAGE + ", flag boolean")
+    assert sorted((r.id, r.accepted, r.wait_s) for r in A.cooldown(timeless, ["user"], "id", 3).collect()) == [(1, False, None), (2, True, None)]
+    assert A.cooldown(timeless.limit(0), ["user"], "id", 3).count() == 0
+
+
 def test_order_of_input_does_not_matter(spark):
     stream = random_stream(5, 500, 3, 3000)
     df = spark.createDataFrame(stream, MESSAGE + ", flag boolean")
