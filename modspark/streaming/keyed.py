@@ -18,6 +18,7 @@ from modspark.durable import run_dir
 from modspark.functions.times import SECOND
 from modspark.operators import ledger as G
 from modspark.operators.admission import HOUR
+from modspark.streaming import kept
 
 # What a decision sees: the kept numbers, the row's time and its flag; what it gives:
 # the numbers to keep and the output values.
@@ -123,11 +124,19 @@ def lockout_rule(limit: int = 5, span: int = 900 * SECOND) -> Decision:
 
 
 def hourly_totals(messages: DataFrame, user: str, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """ST1 totals: messages per user and hour; later rows than ``late`` are left out."""
+    """ST1 totals for sinks that only append: messages per user and hour, once an hour is closed;
+    later rows than ``late`` are left out. ``all_hourly_totals`` leaves out none."""
     timed = messages.withColumn("at", F.col(ts).cast("timestamp"))
     return timed.withWatermark("at", late).groupBy(F.window("at", "1 hour"), user).agg(F.count(F.lit(1)).alias("n"))
 
 
+def all_hourly_totals(messages: DataFrame, user: str, folder: str, ts: str = "ts", every: int = kept.EVERY) -> DataFrame:
+    """ST1 totals: user, hour, n over every message so far, open hours and late messages included,
+    kept below ``folder`` over restarts. Null users and times are groups of their own."""
+    ones = messages.select(F.col(user), F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz").alias("hour"), F.lit(1).cast("bigint").alias("n"))
+    return kept.keep(ones, folder, lambda rows: rows.groupBy(user, "hour").agg(F.sum("n").alias("n")), every)
+
+
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drive a stream over all available input into files of the shared folder."""
     spark = stream.sparkSession
@@ -138,28 +147,10 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def merge_states(events: DataFrame, name: str) -> DataFrame:
-    """ST6: life-cycle events (id, event, us, message_id) merged batch by batch.
+def merge_states(events: DataFrame, name: str, folder: str | None = None, every: int = kept.EVERY) -> DataFrame:
+    """ST6: life-cycle events (id, event, us, message_id) merged batch by batch, the last of each id.
 
-    Every batch writes a new snapshot next to the old one, named by its batch number,
-    so a repeated batch rewrites the same folder and no reader sees half of one.
+    With a ``folder`` a later run goes on from what is kept there (S8); a repeated batch counts once.
     """
-    spark = events.sparkSession
-    folder = run_dir(spark, name)
-    schema = "id bigint, event string, us bigint, message_id bigint"
-    done: list[str] = []
-
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.select("id", "event", "us", "message_id")
-        if done:
-            rows = rows.unionByName(spark.read.schema(schema).parquet(done[-1]))
-        kept = G.latest(rows, ["id"], F.col("us"))
-        target = f"{folder}/state-{number}"
-        kept.write.mode("overwrite").parquet(target)
-        done.append(target)
-
-    query = (events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    state = spark.read.schema(schema).parquet(done[-1]) if done else spark.createDataFrame([], schema)
-    return G.lifecycle(state)
+    rows = events.select("id", "event", "us", "message_id")
+    return G.lifecycle(kept.keep(rows, folder or run_dir(events.sparkSession, name), lambda x: G.latest(x, ["id"], F.col("us")), every))

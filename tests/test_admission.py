@@ -141,3 +141,23 @@ def test_states_merge_over_batches(spark, tmp_path):
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {r.id: (r.status, r.message_id, r.is_deleted) for r in S.merge_states(source, "test-states").collect()}
     assert got == {1: ("published", 77, False), 2: ("failed", None, True)}
+
+
+def test_totals_and_states_go_on_after_a_restart(spark, tmp_path):
+    """Two runs over a growing folder, with a whole fold in between, equal one count over all rows: late ones, open hours, nulls."""
+    hour = 3600
+    messages = [[("a", 0), ("b", 5 * hour), (None, 1)], [("a", 1), ("a", 9 * hour)], [("b", 5 * hour + 1), ("a", None)], [("a", 2), ("b", 0)]]
+    events = [[(1, "pending", 1, None), (2, "pending", 1, None)], [(1, "published", 5, 77)], [(1, "failed", 3, None)], [(2, "failed", 4, None)]]
+    kinds = {"m": "user string, s long", "e": "id bigint, event string, us bigint, message_id bigint"}
+    got = {}
+    for upto in (2, 4):
+        for n in range(upto - 2, upto):
+            spark.createDataFrame(messages[n], kinds["m"]).coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+            spark.createDataFrame(events[n], kinds["e"]).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+        read = lambda name: spark.newSession().readStream.schema(kinds[name]).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        timed = read("m").withColumn("ts", F.timestamp_seconds("s"))
+        got["totals"] = S.all_hourly_totals(timed, "user", str(tmp_path / "totals"), every=3)
+        got["states"] = S.merge_states(read("e"), "x", str(tmp_path / "states"), every=2)
+    assert sorted(((r.user or "", r.hour.hour if r.hour else -1), r.n) for r in got["totals"].collect()) == [
+        (("", 0), 1), (("a", -1), 1), (("a", 0), 3), (("a", 9), 1), (("b", 0), 1), (("b", 5), 2)]
+    assert {r.id: (r.status, r.message_id) for r in got["states"].collect()} == {1: ("published", 77), 2: ("failed", None)}
