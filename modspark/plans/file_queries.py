@@ -71,13 +71,19 @@ def file_screen(spark, sf):
     return out.select("doc_id", "path", F.col("check.no_program").alias("no_program"), F.col("check.head").alias("head"), "safe")
 
 
-@query("""select doc_id, case when doc_id % 8 in (6, 7) then 'binary zero bytes in plain text' end as finding,
-   case when doc_id % 8 not in (6, 7, 0, 1, 2, 3, 5) then md5(text) end as digest from documents""")
+#: What every byte from 128 on stands for, for the SQL; from the codec, not from ours.
+_HIGH = [chr(i) for i in range(128, 256)], [bytes([i]).decode("cp1256") for i in range(128, 256)]
+
+
+@query(f"""with f as (select doc_id, {HEAD_SQL}[doc_id % 8 + 1] as head, {HEAD_SQL}[doc_id % 8 + 1] || hex(text) as h, text from documents),
+  b as (select *, regexp_matches(head, '^([0-7][0-9A-F])*$') as plain, regexp_matches(h, '^(..)*00') as zero from f)
+  select doc_id, case when zero then 'binary zero bytes in plain text' end as finding,
+   case when zero then null when plain then md5(unhex(h))
+    else md5(translate(array_to_string(list_transform(regexp_extract_all(h, '..'), lambda x: chr(('0x' || x)::int)), ''), '{"".join(_HIGH[0])}', '{"".join(_HIGH[1])}')) end as digest from b""")
 def plain_text(spark, sf):
-    """M7: decoded text of the files whose head is plain."""
+    """M7: decoded text of every file without zero bytes, in either encoding."""
     out = _files(spark, sf).select("doc_id", F.inline(F.array(M.plain_text(F.col("content")))))
-    plain = F.col("doc_id") % 8 == 4
-    return out.select("doc_id", "finding", F.when(plain, F.md5("text")).alias("digest"))
+    return out.select("doc_id", "finding", F.md5("text").alias("digest"))
 
 
 @query(f"""with e as (select conv_id, turn, (['notes', '../up', 'run', '/abs', 'a.b'][length(text) % 5 + 1]) || (['.txt', '.exe', '.csv', '.md'][length(text) % 4 + 1]) as entry_name,
