@@ -228,12 +228,16 @@ def stream_cooldown(spark, sf):
     return out.select(F.col("id").alias("event_id"), "accepted", "wait_s")
 
 
-@query(STRIKES_SQL)
+@query("""with c as (select event_id, user_id, ts, least(4, count(*) over (partition by user_id order by ts range between interval 3 days preceding and current row)) as strike
+    from events where event_type = 'error'),
+  m as (select *, case strike when 3 then 15 when 4 then 120 end as mute_minutes from c)
+  select event_id, strike, mute_minutes, coalesce(last_value(ts + to_minutes(mute_minutes) ignore nulls) over (
+    partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) > ts, false) as muted from m""")
 def stream_strikes(spark, sf):
     """ST4."""
     rows = _stream(spark, sf).where("event_type = 'error'")
     out = S.run_once(S.decide_stream(rows, S.strike_rule(STRIKES), {"strike": "int", "mute_minutes": "int", "muted": "boolean"}), "strikes")
-    return out.select(F.col("id").alias("event_id"), "strike", "mute_minutes")
+    return out.select(F.col("id").alias("event_id"), "strike", "mute_minutes", "muted")
 
 
 @query(LOCKOUT_SQL)
