@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from modspark.durable import cut
 from modspark.functions.times import SECOND, from_micros
 from modspark.operators import timeline as L
 from modspark.operators.cooldown import cooldown
+from modspark.operators.lockout import lockout
 
 HOUR = 3600 * SECOND
 
@@ -75,79 +75,6 @@ def duplicates(df: DataFrame, fingerprint: list[str], order: str, span: int = 30
     return seen.withColumn("duplicate", F.size("recent") > 0).drop("recent")
 
 
-SMALL = 512  # rows of a run that are worth handling as one array
-
-# --- lockout ------------------------------------------------------------------------
-
-def _lockout_part(order: str, limit: int, span: int):
-    """One part of a crowded run; ``fails`` holds what the part before left."""
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", order])
-        carried = pdf["fails"].iloc[0]
-        fails = [] if carried is None else [int(t) for t in carried]
-        out = []
-        for us, success in zip(pdf["us"], pdf["success"]):
-            live = [t for t in fails if us - t < span]
-            if len(live) >= limit and span - (us - live[0]) >= SECOND:
-                out.append("locked")
-            elif success:
-                out.append("ok")
-                fails = []
-            else:
-                out.append("failed")
-                fails = [*live, int(us)]
-        left = [None] * (len(pdf) - 1) + [fails]
-        return pdf.drop(columns=["us", "success", "fails"]).assign(outcome=out, fails=left)
-    return work
-
-
-def lockout(df: DataFrame, user: str, order: str, success: str, limit: int = 5, span: int = 900 * SECOND,
-            small: int = SMALL, part: int = 200_000) -> DataFrame:
-    """Adds ``outcome``: ok, failed or locked.
-
-    After ``limit`` failures within ``span`` every attempt is turned away unrecorded
-    until the oldest is ``span`` old; a success clears the record.  A pause of ``span``
-    forgets everything, so runs of attempts without such a pause are independent.
-    Runs of up to ``small`` rows are folded at once; a longer run is worked off in parts
-    of ``part`` rows, each taking over the few times the part before left.
-    """
-    width = span * 16
-    prev = L.with_recent(df.select(user, order, "us", F.col(success).alias("success")), [user], order, 1, span - 1)
-    opened = prev.withColumn("opens", F.when(F.size("recent") == 0, F.col("us"))).drop("recent")
-    runs = cut(L.carry_last(opened, [user], order, F.col("opens"), "run_us", width).drop("opens"))
-    sizes = runs.groupBy(user, "run_us").agg(F.count(F.lit(1)).alias("size"))
-
-    def step(acc: Column, row: Column) -> Column:
-        live = F.filter(acc["fails"], lambda t: row["us"] - t < span)
-        # Remaining seconds are cut to whole ones: in the last second the door is open.
-        locked = (F.size(live) >= limit) & (F.lit(span) - (row["us"] - F.array_min(live)) >= SECOND)
-        outcome = F.when(locked, "locked").when(row["success"], "ok").otherwise("failed")
-        fails = F.when(locked, acc["fails"]).when(row["success"], F.array().cast("array<bigint>")).otherwise(
-            F.concat(live, F.array(row["us"])))
-        return F.struct(fails.alias("fails"), F.concat(acc["out"], F.array(
-            F.struct(row[order].alias(order), outcome.alias("outcome")))).alias("out"))
-
-    types = dict(df.dtypes)
-    start = F.struct(F.array().cast("array<bigint>").alias("fails"),
-                     F.array().cast(f"array<struct<{order}:{types[order]},outcome:string>>").alias("out"))
-    folded = runs.join(sizes.where(F.col("size") <= small), [user, "run_us"]).groupBy(user, "run_us").agg(
-        F.sort_array(F.collect_list(F.struct("us", order, "success"))).alias("line")
-    ).select(F.inline(F.aggregate("line", start, step, lambda a: a["out"])))
-
-    most = sizes.agg(F.max("size")).first()[0] or 0
-    if most > small:
-        long = runs.join(sizes.where(F.col("size") > small).select(user, "run_us"), [user, "run_us"])
-        numbered = cut(L.carry_total(long, [user, "run_us"], order, F.lit(1), "n", width).withColumn(
-            "part", F.floor((F.col("n") - 1) / F.lit(part))).drop("n"))
-        ddl = f"`{user}` {types[user]}, run_us bigint, `{order}` {types[order]}, outcome string, fails array<bigint>"
-        left = df.sparkSession.createDataFrame([], f"`{user}` {types[user]}, run_us bigint, fails array<bigint>")
-        for number in range(-(-most // part)):
-            rows = numbered.where(F.col("part") == number).drop("part").join(left, [user, "run_us"], "left")
-            done = cut(rows.groupBy(user, "run_us").applyInPandas(_lockout_part(order, limit, span), ddl))
-            folded = folded.unionByName(done.select(order, "outcome"))
-            left = done.where(F.col("fails").isNotNull()).select(user, "run_us", "fails")
-    return df.join(folded, order)
-
 
 # --- mutes --------------------------------------------------------------------------
 

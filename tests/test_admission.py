@@ -88,7 +88,7 @@ def test_random_streams_match_a_simulation(spark, seed):
     check(A.cooldown(df, ["user"], "id", wait, closed=False, slice_waits=1, fan=2), ["accepted", "wait_s"], S.cooldown_rule(wait, closed=False))
     check(A.strikes(df, "user", "id", span), ["strike", "mute_minutes"], S.strike_rule(span))
     check(A.lockout(df, "user", "id", "flag", 3, span), ["outcome"], S.lockout_rule(3, span))
-    check(A.lockout(df, "user", "id", "flag", 3, span, small=5, part=400), ["outcome"], S.lockout_rule(3, span))
+    check(A.lockout(df, "user", "id", "flag", 3, span, parts=17), ["outcome"], S.lockout_rule(3, span))
 
 
 def test_cooldown_of_a_hot_key(spark, monkeypatch):
@@ -106,6 +106,23 @@ def test_cooldown_of_a_hot_key(spark, monkeypatch):
     assert A.cooldown(timeless.limit(0), ["user"], "id", 3).count() == 0
 
 
+@pytest.mark.parametrize("successes", [0, 40])
+def test_lockout_of_a_hot_key(spark, successes):
+    """A user with half of all attempts, over many parts, without a pause; with no success at all each guess is wrong."""
+    stream = [(("hot", None, "a", "b")[0 if i % 2 else 1 + i % 3], i, i * SECOND // 2, i % 100 < successes and i % 7 == 0) for i in range(4000)]
+    df = spark.createDataFrame(stream, MESSAGE + ", flag boolean").repartition(5)
+    got = A.lockout(df, "user", "id", "flag", 4, 50 * SECOND, parts=9)
+    want = simulate([(str(u), *rest) for u, *rest in stream], S.lockout_rule(4, 50 * SECOND))
+    assert {r.id: r.outcome for r in got.collect()} == {i: w[0] for i, w in want.items()}
+
+
+def test_lockout_without_time_or_rows(spark):
+    df = spark.createDataFrame([("a", 1, None, None), (None, 2, 5, None), (None, 3, 6, True)], MESSAGE + ", flag boolean")
+    got = A.lockout(df, "user", "id", "flag")
+    assert column(got, "outcome") == [None, "failed", "ok"] and got.columns == [*df.columns, "outcome"]
+    assert A.lockout(df.limit(0), "user", "id", "flag").count() == 0
+
+
 def test_order_of_input_does_not_matter(spark):
     stream = random_stream(5, 500, 3, 3000)
     df = spark.createDataFrame(stream, MESSAGE + ", flag boolean")
