@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from modspark.durable import written
 from modspark.functions.times import SECOND
 
+#: Rounds after which what is known of the parts is written, so that plans stay short.
+WRITE_EVERY = 4
 OUTCOMES = pa.array(["failed", "ok", "locked"])
 
 
@@ -115,10 +117,10 @@ def lockout(df: DataFrame, user: str, order: str, success: str, limit: int = 5,
         F.min_by(place, "n").alias("opens"), F.max_by(place, "n").alias("closes"),
         F.max_by("exit", F.when(F.col("exit").isNotNull(), F.col("n"))).alias("exit"), F.bool_and("head").alias("whole")), "lockout-ends")
     line = W.orderBy("part")
-    links = written(
+    links = (
         ends.select("part", "opens", F.lag("part").over(line).alias("before"), F.lag("closes").over(line).alias("left"))
         .where(F.col("before").isNotNull() & F.col("opens.user").eqNullSafe(F.col("left.user")) & (F.col("opens.us") - F.col("left.us") < span))
-        .select("part", "before", F.col("opens.us").alias("opens_us")), "lockout-links")
+        .select("part", "before", F.col("opens.us").alias("opens_us")))
     exits, whole = ends.select("part", "exit"), ends.where("whole").select("part")
     told = df.sparkSession.createDataFrame([], "part bigint, entry array<bigint>, round int")
     heads, rounds = first.where("head"), [first.withColumn("round", F.lit(0))]
@@ -132,8 +134,10 @@ def lockout(df: DataFrame, user: str, order: str, success: str, limit: int = 5,
         again = heads.select("part", "user", "id", "us", "success", "n").join(wrong, "part").repartition(parts, "part").sortWithinPartitions("part", "n").drop("n")
         redone = written(again.mapInArrow(fold, shape), "lockout-again")
         left = redone.where(F.col("exit").isNotNull()).join(whole, "part").groupBy("part").agg(F.max_by("exit", "n").alias("new"))
-        exits = written(exits.join(left, "part", "left").select("part", F.coalesce("new", "exit").alias("exit")), "lockout-exits")
-        told = written(told.join(wrong, "part", "left_anti").unionByName(wrong.withColumn("round", F.lit(len(rounds)))), "lockout-told")
+        exits = exits.join(left, "part", "left").select("part", F.coalesce("new", "exit").alias("exit"))
+        told = told.join(wrong, "part", "left_anti").unionByName(wrong.withColumn("round", F.lit(len(rounds))))
+        if not len(rounds) % WRITE_EVERY:
+            exits, told = written(exits, "lockout-exits"), written(told, "lockout-told")
         rounds.append(redone.withColumn("round", F.lit(len(rounds))))
     every = rounds[0]
     for redone in rounds[1:]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from modspark.durable import cut, written
 from modspark.functions import distance as D
 from modspark.functions import text as T
-from modspark.functions.bind import settle
+from modspark.functions.bind import once, settle
 from modspark.operators import lexicon as L
 from modspark.operators import rules as R
 from modspark.schemas import severity_score
@@ -375,21 +375,25 @@ def confusion(df: DataFrame, group: str, expected_block: str, blocked: str) -> D
         "recall": F.round(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), 6)})
 
 
+#: What follows a letter, by one hexadecimal digit: mostly nothing.
+NOISE = ("",) * 8 + (".", "-", "_", " ") * 2
+
+
 def noisy_copies(corpus: DataFrame, key: str, text: str, seeds: int) -> DataFrame:
-    """Every row once per seed, letters repeated and separated by a seeded hash.
+    """Every row once per seed, letters repeated and separated; adds seed, copy (key and seed) and noisy.
 
-    Same shape of noise as a shuffled keyboard would give, but reproducible: the
-    choice for a letter depends on text, seed and position only."""
-    marks = F.array(*[F.lit(m) for m in ("", "", "", ".", "-", "_", " ")])
-    copies = corpus.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    Same shape of noise as a shuffled keyboard would give, but reproducible: MD5 of the text's MD5,
+    the seed and the letter's place decides (first digit: a quarter of all letters is doubled;
+    second digit: what follows), so any engine with MD5 can follow. Null texts stay null."""
+    copies = corpus.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn(
+        "copy", F.concat_ws("/", key, "seed")).withColumn("drawn_by", F.concat_ws("/", F.md5(text), "seed"))
 
     def noise(c: Column, i: Column) -> Column:
-        pick = F.xxhash64(F.col(text), F.col("seed"), i)
-        repeat = F.when(F.pmod(pick, F.lit(5)) == 0, 2).otherwise(1)
-        mark = F.element_at(marks, (F.pmod(F.shiftright(pick, 8), F.lit(7)) + 1).cast("int"))
-        return F.concat(F.repeat(c, repeat.cast("int")), mark)
+        return once(F.md5(F.concat_ws("/", "drawn_by", i)), lambda drawn: F.concat(
+            F.when(F.substring(drawn, 1, 1) < "4", F.concat(c, c)).otherwise(c),
+            F.get(F.array(*[F.lit(m) for m in NOISE]), F.conv(F.substring(drawn, 2, 1), 16, 10).cast("int"))))
 
-    return copies.withColumn("noisy", F.array_join(F.transform(F.split(F.col(text), ""), noise), ""))
+    return copies.withColumn("noisy", F.array_join(F.transform(F.split(F.col(text), ""), noise), "")).drop("drawn_by")
 
 
 def lexicon_from(spark: SparkSession, **options) -> L.Lexicon:

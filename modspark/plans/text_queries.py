@@ -166,7 +166,7 @@ def moderation_eval(spark, sf):
 def noisy_recall(spark, sf):
     bad = texts(spark, sf, "documents").join(table(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
     noisy = V.noisy_copies(bad.select("doc_id", "text"), "doc_id", "text", 3)
-    judged = V.moderate(noisy, "doc_id", "noisy", V.lexicon_from(spark))
+    judged = V.moderate(noisy, "copy", "noisy", V.lexicon_from(spark))
     return V.confusion(judged.select("seed", F.lit(True).alias("expected"), (~F.col("verdict.is_allowed")).alias("blocked")),
                        "seed", "expected", "blocked")
 

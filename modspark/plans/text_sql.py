@@ -10,6 +10,7 @@ from __future__ import annotations
 from modspark.functions import text as T
 from modspark.operators import lexicon as L
 from modspark.operators import rules as R
+from modspark.operators import verdict as V
 
 W = r"[\p{L}\p{N}_]"
 NW = r"[^\p{L}\p{N}_]"
@@ -287,6 +288,15 @@ def complete(source: str = DOCS, off: tuple[str, ...] = (), links: bool = True,
       from verdicts v left join f on f.k = v.k and f.rn = 1)"""
 
 
+def noisy(seeds: int) -> str:
+    """Copies (k, raw) of the toxic documents with noise, letter by letter."""
+    marks = "[" + ", ".join(lit(m) for m in V.NOISE) + "]"
+    drawn = "md5(md5(text) || '/' || seed || '/' || (i - 1))"
+    return f"""select doc_id || '/' || seed as k, array_to_string(list_transform(string_split(text, ''), lambda c, i:
+        c || case when substr({drawn}, 1, 1) < '4' then c else '' end || ({marks})[('0x' || substr({drawn}, 2, 1))::int + 1]), '') as raw
+      from documents, range({seeds}) r(seed) where doc_id in (select doc_id from labels where toxic = 1)"""
+
+
 def custom_lexicon() -> str:
     base = lexicon_values()
     n = len(L.DEMO_TERMS)
@@ -339,6 +349,9 @@ SQL = {
       join labels l using (doc_id) join complete v on v.k = d.doc_id), g as (select lang, count(*) as n, count(*) filter (want and got) as tp,
       count(*) filter (not want and got) as fp, count(*) filter (want and not got) as fn, count(*) filter (not want and not got) as tn from e group by lang)
       select *, round(tp / nullif(tp + fp, 0)::double, 6) as precision, round(tp / nullif(tp + fn, 0)::double, 6) as recall from g""",
+    "noisy_recall": f"""with {complete(noisy(3))}, e as (select split_part(k, '/', 2)::int as seed, is_allowed from complete),
+      g as (select seed, count(*) as n, count(*) filter (not is_allowed) as tp, 0 as fp, count(*) filter (is_allowed) as fn, 0 as tn from e group by seed)
+      select *, case when tp > 0 then 1.0::double end as precision, round(tp / n::double, 6) as recall from g""",
     "profanity_test": f"""with f as (select doc_id, {hash_fold('text')} as ch from documents), g as (select doc_id, trim({cap('ch')}, {SPACES}) as t from f),
       h as (select *, replace(regexp_replace(t, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), ' ', '') as j from g), {lexicon_values()},
       m as (select doc_id, arg_min(l.term, l.ord) as word from (select *, {frame('t')} as f from h) h, lex l where {whole('f', 'l.folded')} or (length(l.folded) >= 4 and contains(j, l.folded)) group by doc_id)
