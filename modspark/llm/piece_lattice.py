@@ -8,7 +8,8 @@ share of all segmentations, and draws are hashes of row key, word number and ste
 segmentation depends on nothing else.
 
 The distinct words of a batch are filtered together, place by place, and all their occurrences are
-sampled together, step by step, as numpy arrays.
+sampled together, step by step, as numpy arrays. Words of more than ``LONG`` letters (texts without
+spaces) are filtered in blocks side by side, and drawn place by place.
 
 Decoding is lossless: letters without a piece, and U+2581 itself, go as their UTF-8 bytes.
 """
@@ -33,6 +34,8 @@ OWN_SPACE = 0x110000
 #: Bytes of text whose words are filtered together.
 TOGETHER = 1_000_000
 SALT = 11
+#: Letters from which a word is filtered in blocks, letters of a block, and blocks that are filtered side by side.
+LONG, BLOCK, BLOCKS = 512, 256, 256
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -45,6 +48,14 @@ def _step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
     return _mixed(h * np.uint64(0x9E3779B97F4A7C15) + code.astype(np.uint64) + np.uint64(1))
 
 
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    """Logarithm of the sum of exponentials; no way at all is minus infinity."""
+    top = x.max(axis=axis, keepdims=True)
+    top[np.isneginf(top)] = 0
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+
+
 class Prefixes:
     """Piece ids by hashed prefix: ``NONE`` where no piece starts so, ``OPEN`` where one goes on."""
 
@@ -126,7 +137,7 @@ class Lattice:
 
     def _filter(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first node of each word, its letters, piece and running share of each (node, length) edge)."""
-        lengths = np.array([len(w) + 1 for w in words])
+        lengths = np.array([len(w) + 1 for w in words], np.int64)
         codes = np.frombuffer("".join([SPACE + w for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
         starts = np.cumsum(lengths) - lengths
         inner = np.ones(len(codes), bool)
@@ -137,18 +148,9 @@ class Lattice:
         nodes = len(codes) + len(words)
         piece = np.full((nodes, self.longest), -1, np.int32)
         weight = np.full((nodes, self.longest), -np.inf, np.float32)
-        left = np.repeat(starts + lengths, lengths) - np.arange(len(codes))
-        at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
-        for n in range(1, self.longest + 1):
-            fits = left[at] >= n
-            at, h = at[fits], h[fits]
-            h = _step(h, codes[at + n - 1])
-            found = self.prefixes.find(h)
-            hit = found >= 0
-            ends = at[hit] + word[at[hit]] + n
-            piece[ends, n - 1], weight[ends, n - 1] = found[hit], self.weight[found[hit]]
-            goes = found != Prefixes.NONE
-            at, h = at[goes], h[goes]
+        for n, at, found in self._matches(codes, np.repeat(starts + lengths, lengths) - np.arange(len(codes))):
+            ends = at + word[at] + n
+            piece[ends, n - 1], weight[ends, n - 1] = found, self.weight[found]
         bare = np.flatnonzero(~self.single[codes])  # letters that go as bytes
         own = np.where(codes[bare] == OWN_SPACE, ord(SPACE), codes[bare]).astype(np.int64)
         piece[bare + word[bare] + 1, 0] = -2 - own
@@ -173,6 +175,79 @@ class Lattice:
             share[node, :reach] = np.where(run >= total, 2, run / total)
         return first, lengths, piece, share
 
+    def _matches(self, codes: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, where they start, pieces) of all pieces in ``codes``; no more than ``left`` letters from a place."""
+        at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        for n in range(1, self.longest + 1):
+            fits = left[at] >= n
+            at, h = at[fits], h[fits]
+            h = _step(h, codes[at + n - 1])
+            found = self.prefixes.find(h)
+            hit = found >= 0
+            yield n, at[hit], found[hit]
+            goes = found != Prefixes.NONE
+            at, h = at[goes], h[goes]
+
+    def _stretch(self, codes: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, weight) of each (node, length) edge that ends at nodes ``a`` + 1 to ``b``."""
+        low = max(0, a - self.longest + 1)
+        piece, weight = np.full((b - a, self.longest), -1, np.int32), np.full((b - a, self.longest), -np.inf)
+        for n, at, found in self._matches(codes[low:b], b - low - np.arange(b - low)):
+            end = at + low + n - a - 1
+            at, found, end = at[end >= 0], found[end >= 0], end[end >= 0]
+            piece[end, n - 1], weight[end, n - 1] = found, self.weight[found]
+        bare = np.flatnonzero(~self.single[codes[a:b]])
+        own = np.where(codes[a:b][bare] == OWN_SPACE, ord(SPACE), codes[a:b][bare]).astype(np.int64)
+        piece[bare, 0], weight[bare, 0] = -2 - own, self.byte_weight * self._utf8(own)
+        return piece, weight
+
+    def _long(self, word: str, base: np.uint64) -> np.ndarray:
+        """The pieces drawn for one long word.
+
+        A node's sum is a linear map of those of the ``longest`` nodes before. So every block
+        first finds its map, side by side with others; the maps are applied one after the other, and
+        each block then knows the sums before it. A node's draw hashes its place, not the number of
+        the step, so a block draws for all its nodes at once and needs no share of them later.
+        """
+        codes = np.frombuffer((SPACE + word).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        codes[1:][codes[1:] == ord(SPACE)] = OWN_SPACE
+        total, width = len(codes), self.longest
+        back, drawn = np.empty(total, np.int64), np.empty(total, np.int32)
+        window = np.r_[np.full(width - 1, -np.inf), 0.0]  # logarithms throughout, the oldest node first
+        for a in range(0, total, BLOCK * BLOCKS):
+            b = min(total, a + BLOCK * BLOCKS)
+            piece, weight = self._stretch(codes, a, b)
+            n = -(-(b - a) // BLOCK)
+            edges = np.full((n * BLOCK, width), -np.inf)
+            edges[:b - a], edges[b - a:, 0] = weight, 0
+            edges = edges.reshape(n, BLOCK, width)
+            older = np.ascontiguousarray(edges[:, :, ::-1])
+            maps = np.full((n, BLOCK + width, width), -np.inf)
+            maps[:, np.arange(width), np.arange(width)] = 0
+            for j in range(BLOCK):
+                maps[:, j + width] = _log_sum(older[:, j, :, None] + maps[:, j:j + width], 1)
+            sums = np.empty((n, BLOCK + width))
+            for i in range(n):
+                sums[i, :width] = window
+                window = _log_sum(maps[i, BLOCK:] + window, 1)
+                window -= window.max()
+            places = np.arange(a + 1, a + 1 + n * BLOCK, dtype=np.uint64)
+            u = (((_mixed(base + places) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53).reshape(n, BLOCK)
+            lengths = np.empty((n, BLOCK), np.int64)
+            for j in range(BLOCK):
+                score = edges[:, j] + sums[:, j:j + width][:, ::-1]
+                top = score.max(axis=1)
+                run = np.cumsum(np.exp(score - top[:, None]), axis=1)
+                sums[:, j + width] = top + np.log(run[:, -1])
+                lengths[:, j] = (run < (u[:, j] * run[:, -1])[:, None]).sum(axis=1)
+            chosen = lengths.reshape(-1)[:b - a]
+            back[a:b], drawn[a:b] = chosen + 1, piece[np.arange(b - a), chosen]
+        node, path, steps = total, [], back.tolist()
+        while node:
+            path.append(node - 1)
+            node -= steps[node - 1]
+        return drawn[path[::-1]]
+
     @staticmethod
     def _utf8(codes: np.ndarray) -> np.ndarray:
         return 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
@@ -184,15 +259,19 @@ class Lattice:
         flat = [w for c in cut for w in c]
         if not flat:
             return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        index = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        word = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+        index = {w: i for i, w in enumerate(dict.fromkeys(w for w in flat if len(w) <= LONG))}
+        word = np.fromiter((index.get(w, -1) for w in flat), np.int64, len(flat))
         first, lengths, piece, share = self._filter(list(index))
         text = np.repeat(np.arange(len(texts)), counts)
         number = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
         base = _mixed(seeds.astype(np.uint64)[text] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-        walker, node, goal = np.arange(len(flat)), first[word] + lengths[word], first[word]
+        walker = np.flatnonzero(word >= 0)
+        node, goal = first[word[walker]] + lengths[word[walker]], first[word[walker]]
         steps, who, what = np.zeros(len(flat), np.int64), [], []
+        drawn = {i: self._long(flat[i], base[i]) for i in np.flatnonzero(word < 0).tolist()}
+        for i, found in drawn.items():
+            steps[i] = len(found)
         k = 0
         while len(walker):
             k += 1
@@ -208,6 +287,8 @@ class Lattice:
         ids = np.empty(int(places[-1]), np.int64)
         for i, (w, p) in enumerate(zip(who, what, strict=True), 1):  # drawn from the end to the start
             ids[places[w] - i] = p
+        for i, found in drawn.items():
+            ids[places[i] - len(found):places[i]] = found
         per_text = np.add.reduceat(np.append(steps, 0), np.minimum(np.cumsum(counts) - counts, len(steps))) * (counts > 0)
         if (ids < 0).any():
             own = -2 - ids
@@ -265,7 +346,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     The key and ``seed`` decide the draws: equal rows get equal ids, and a null key is one key.
     Null and empty texts have no ids. Words are as long as the text makes them: a text without
-    spaces is one word. No rows in, none out.
+    spaces is one word, worked off in memory that grows by some 60 bytes a letter. No rows in, none out.
     """
     keep = keep or {"doc_id": F.col(id_col)}
     rows = docs.select(

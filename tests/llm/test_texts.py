@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import zlib
 
 import numpy as np
@@ -110,6 +111,38 @@ def test_pieces_are_drawn_by_their_share():
     assert sum((seen[w] - n * p) ** 2 / (n * p) for w, p in likely) < 3 * len(likely) + 10
 
 
+@pytest.mark.parametrize("alpha", [1.0, 4.0])
+def test_long_words_in_blocks_draw_as_the_plain_filter(monkeypatch, alpha):
+    """The same hashes against the shares of the plain filter, over several stretches of blocks."""
+    monkeypatch.setattr(piece_lattice, "BLOCK", 64)
+    monkeypatch.setattr(piece_lattice, "BLOCKS", 3)
+    model, r = piece_lattice.Lattice(PIECES, alpha), random.Random(3)
+    letters = ["the", "re", "action", "ing", "s", "Ж", "漢", "字", "\U0001f600", "\u2581", "x", "aaaa", "0"]
+    for size in (1, 192, 193, 1500):
+        word = "".join(r.choice(letters) for _ in range(size))[:size]
+        base = np.uint64(r.getrandbits(64))
+        first, lengths, piece, share = model._filter([word])
+        nodes = np.arange(int(lengths[0]) + 1, dtype=np.uint64)
+        u = ((piece_lattice._mixed(base + nodes) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        node, want = int(lengths[0]), []
+        while node:
+            back = int((share[node] < u[node]).sum())
+            want.append(piece[node, back])
+            node -= back + 1
+        assert model._long(word, base).tolist() == want[::-1]
+
+
+def test_a_text_of_a_million_letters_without_a_space():
+    model, r = piece_lattice.Lattice(PIECES), random.Random(5)
+    text = "".join(r.choices("abcdefghij漢字語日本", k=1_000_000))
+    begun = time.monotonic()
+    ids, counts = model.encode(["short one", text, None, text], np.array([1, 2, 3, 2]))
+    assert time.monotonic() - begun < 60  # a letter at a time, one text alone took 100 s
+    assert model.decode(ids, counts) == [b"short one", text.encode(), b"", text.encode()]
+    both = np.split(ids, np.cumsum(counts)[:-1])
+    assert np.array_equal(both[1], both[3]) and np.array_equal(both[1], model.encode([text], np.array([2]))[0])
+
+
 def test_pieces_odd_rows(odd):
     rows = piece_lattice.encode(odd, PIECES)
     got = rows.collect()
