@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from modspark import schemas
+from modspark.durable import run_dir
 from modspark.functions import crypto as K
 from modspark.functions import text as T
 from modspark.functions.times import hour_label, micros, mute_minutes, parse_timestamp
@@ -379,22 +382,72 @@ def delivery_tally(spark, sf):
     return G.delivery_tally(table(spark, sf, "lineitem").select((F.col("l_returnflag") == "N").alias("delivered")), "delivered")
 
 
-@query("""select 'students' as name, (select count(*) from customer) as n_source, (select count(*) from (select c_custkey from customer union select s_suppkey from supplier)) as n_target, true as complete
-  union all select 'system_settings', (select count(*) from nation), (select count(*) from nation), true
-  union all select 'audit_logs', (select count(*) from orders), (select count(*) from (select o_orderkey from orders union select p_partkey from part)), true""")
-def migrate_reconcile(spark, sf):
-    """S7, A6 as a dry run: old tables lack columns, some are missing altogether."""
+def _old_and_new(spark, sf):
+    """Seven tables of an old store, which lack columns, and a new one that holds rows of five of them."""
+    from modspark.sources.tables import align
+
+    t = lambda name: table(spark, sf, name)
     source = {
-        "students": table(spark, sf, "customer").select(F.col("c_custkey").cast("int").alias("anonymous_id"), F.col("c_name").alias("user_hash")),
-        "audit_logs": table(spark, sf, "orders").select(F.col("o_orderkey").cast("int").alias("id"), F.lit("BAN").alias("action")),
-        "system_settings": table(spark, sf, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value")),
+        "students": t("customer").select(
+            F.col("c_custkey").alias("anonymous_id"), F.col("c_name").alias("user_hash"), F.col("c_mktsegment").alias("enc_full_name"),
+            (F.col("c_acctbal") < 0).alias("is_banned")),
+        "banned_fingerprints": t("customer").where("c_acctbal < 0").select(F.md5("c_name").alias("id_hash"), F.col("c_mktsegment").alias("reason")),
+        "admin_credentials": t("supplier").select(F.col("s_suppkey").alias("telegram_id"), F.md5("s_name").alias("password_hash")),
+        "posts": t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("anonymous_id"), F.col("o_orderkey").alias("channel_message_id")),
+        # Many replies share a number: the first by id stays, so this table does not come out complete.
+        "replies": t("lineitem").select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("parent_channel_msg_id"),
+            F.col("l_partkey").alias("reply_channel_msg_id")),
+        "audit_logs": t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("action")),
+        "system_settings": t("nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value")),
     }
-    empty = {n: spark.createDataFrame([], ddl) for n, ddl in schemas.TABLES.items()}
-    from modspark.sources.tables import align
-    target = {**empty,
-              "students": align(table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("anonymous_id")), "students", {}),
-              "audit_logs": align(table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("id")), "audit_logs", {})}
-    return M.migrate(spark, source, target, folder="", dry_run=True)
+    target = {n: spark.createDataFrame([], ddl) for n, ddl in schemas.TABLES.items()} | {
+        n: align(df, n, {}) for n, df in {
+            "students": t("supplier").select(F.col("s_suppkey").alias("anonymous_id"), F.col("s_name").alias("user_hash"), F.lit(7).alias("total_posts")),
+            "admin_credentials": t("nation").select(F.col("n_nationkey").alias("telegram_id"), F.lit("none").alias("password_hash"), F.lit("owner").alias("role")),
+            "posts": t("part").select(F.col("p_partkey").alias("channel_message_id"), F.lit("kept").alias("status")),
+            "audit_logs": t("part").select(F.col("p_partkey").alias("id"), F.lit("kept").alias("action")),
+            "system_settings": t("region").select(F.col("r_name").alias("key"), F.lit("old").alias("value"))}.items()}
+    return source, target
+
+
+OLD_AND_NEW_SQL = """with students as (select coalesce(c_custkey, s_suppkey) as k, coalesce(s_name, c_name) || '|' || coalesce(c_mktsegment, '') || '|'
+      || case when c_custkey is null then '' else (c_acctbal < 0)::varchar end || '|'
+      || case when s_suppkey is null or c_custkey is not null then '0' else '7' end as v from customer full join supplier on c_custkey = s_suppkey),
+  banned_fingerprints as (select md5(c_name) as k, arg_min(c_mktsegment, c_mktsegment) as v from customer where c_acctbal < 0 group by 1),
+  admin_credentials as (select coalesce(s_suppkey, n_nationkey) as k, coalesce(md5(s_name), 'none') || '|' || case when n_nationkey is null then 'moderator' else 'owner' end as v
+    from supplier full join nation on s_suppkey = n_nationkey),
+  posts as (select coalesce(p_partkey, o_orderkey) as k, case when p_partkey is null then o_custkey || '|published' else '|kept' end as v
+    from orders full join part on o_orderkey = p_partkey),
+  replies as (select l_partkey as k, arg_min(l_orderkey, l_orderkey * 10 + l_linenumber)::varchar as v from lineitem group by 1),
+  audit_logs as (select coalesce(p_partkey, o_orderkey) as k, case when p_partkey is null then o_orderpriority else 'kept' end as v from orders full join part on o_orderkey = p_partkey),
+  system_settings as (select coalesce(n_name, r_name) as k, coalesce(n_nationkey::varchar, 'old') as v from nation full join region on n_name = r_name)"""
+MOVED_COLUMNS = {
+    "students": ("user_hash", "enc_full_name", "is_banned", "total_posts"), "banned_fingerprints": ("reason",), "admin_credentials": ("password_hash", "role"),
+    "posts": ("anonymous_id", "status"), "replies": ("parent_channel_msg_id",), "audit_logs": ("action",), "system_settings": ("value",)}
+OLD_COUNTS = {
+    "students": "customer", "banned_fingerprints": "customer where c_acctbal < 0", "admin_credentials": "supplier", "posts": "orders", "replies": "lineitem",
+    "audit_logs": "orders", "system_settings": "nation"}
+
+
+@query(OLD_AND_NEW_SQL + ", counted as (" + " union all ".join(
+    f"select '{n}' as name, (select count(*) from {old}) as n_source, (select count(*) from {n}) as n_target" for n, old in OLD_COUNTS.items())
+    + ") select *, n_target >= n_source as complete from counted")
+def migrate_reconcile(spark, sf):
+    """Seven tables staged, published and counted."""
+    return M.migrate(spark, *_old_and_new(spark, sf), run_dir(spark, "migrated"))
+
+
+@query(OLD_AND_NEW_SQL + " " + " union all ".join(f"select '{n}' as name, k::varchar as key, v as held from {n}" for n in OLD_COUNTS))
+def migrated_rows(spark, sf):
+    """What the seven published tables hold."""
+    folder = run_dir(spark, "migrated")
+    M.migrate(spark, *_old_and_new(spark, sf), folder)
+    keys = {name: key[0] for name, key, *_ in M.STEPS}
+    return reduce(lambda a, b: a.unionByName(b), [
+        df.select(F.lit(name).alias("name"), F.col(keys[name]).cast("string").alias("key"),
+                  F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in MOVED_COLUMNS[name]]).alias("held"))
+        for name, df in M.published(spark, folder).items()])
 
 
 @query("""select 'orders' as name, (select max(o_orderkey) from orders) as mark union all select 'none', 100 union all select 'events', (select max(event_id) from events)""")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,15 +52,48 @@ def plan(source: dict[str, DataFrame], target: dict[str, DataFrame]) -> dict[str
         for name, keys, update, defaults in STEPS}
 
 
+def _noted(spark: SparkSession, path: str) -> dict[str, str] | None:
+    """Table names and folders noted at ``path``; None if nothing is there. As many rows as a migration has tables."""
+    try:
+        return {r.name: r.path for r in spark.read.schema("name string, path string").parquet(path).collect()}
+    except AnalysisException:
+        return None
+
+
+def _note(spark: SparkSession, path: str, rows: list[tuple[str, str]], mode: str) -> None:
+    spark.createDataFrame(rows, "name string, path string").coalesce(1).write.mode(mode).parquet(path)
+
+
+def published(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a finished migration; none before its manifest is there."""
+    return {name: spark.read.parquet(path) for name, path in (_noted(spark, f"{folder}/manifest") or {}).items()}
+
+
 def migrate(spark: SparkSession, source: dict[str, DataFrame], target: dict[str, DataFrame], folder: str,
             dry_run: bool = False) -> DataFrame:
-    """Write the snapshots to a new ``folder`` and reconcile the counts.  A dry run plans
-    and counts, and writes nothing."""
+    """Stage all snapshots below a new ``folder``, publish them by one manifest, and reconcile the counts.
+
+    A table is noted once it is staged whole, so a run that broke goes on at its table when it is
+    started again; what it left half-written is passed by. A folder that holds other tables, or a
+    published migration, is refused. A dry run plans and counts, and writes nothing.
+    """
     snapshots = plan(source, target)
     if not dry_run:
+        if _noted(spark, f"{folder}/manifest") is not None:
+            raise ValueError("this migration is published already")
+        staged = _noted(spark, f"{folder}/staged")
+        resumed, staged = staged is not None, staged or {}
         for name, df in snapshots.items():
-            df.write.mode("errorifexists").parquet(f"{folder}/{name}")
-        snapshots = {name: spark.read.parquet(f"{folder}/{name}") for name in snapshots}
+            if name in staged:
+                continue
+            path = f"{folder}/{name}" + (f"-{uuid.uuid4().hex}" if resumed else "")
+            if not staged:
+                _note(spark, f"{folder}/staged", [], "append")
+            df.write.mode("errorifexists").parquet(path)
+            _note(spark, f"{folder}/staged", [(name, path)], "append")
+            staged[name] = path
+        _note(spark, f"{folder}/manifest", list(staged.items()), "errorifexists")
+        snapshots = published(spark, folder)
     names = [name for name, *_ in STEPS if name in source]
     return G.reconcile(
         G.table_counts(spark, {n: source[n] for n in names}),

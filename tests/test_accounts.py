@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from modspark import schemas
@@ -124,6 +125,24 @@ def test_migration_writes_and_reconciles(spark, tmp_path):
     assert M.plan(old, snapshots)["students"].count() == 2
 
 
+def test_a_broken_migration_goes_on_and_publishes_once(spark, tmp_path):
+    empty = {n: spark.createDataFrame([], ddl) for n, ddl in schemas.TABLES.items()}
+    old = {"students": spark.createDataFrame([(1, "h")], "anonymous_id int, user_hash string"),
+           "posts": spark.createDataFrame([(5,)], "channel_message_id int")}
+    broken = spark.range(1).select(F.raise_error(F.lit("lost")).cast("bigint").alias("channel_message_id"))
+    folder = str(tmp_path / "new")
+    with pytest.raises(Exception, match="lost"):
+        M.migrate(spark, old | {"posts": broken}, empty, folder)
+    assert M.published(spark, folder) == {}
+    changed = old | {"students": old["students"].union(old["students"].selectExpr("2", "'later'"))}
+    counts = {r.name: (r.n_source, r.n_target) for r in M.migrate(spark, changed, empty, folder).collect()}
+    assert counts == {"students": (2, 1), "posts": (1, 1)}  # students were staged whole before the break
+    tables = M.published(spark, folder)
+    assert set(tables) == {n for n, *_ in M.STEPS} and tables["posts"].first().channel_message_id == 5
+    with pytest.raises(ValueError):
+        M.migrate(spark, old, empty, folder)
+
+
 def test_appending_sinks(spark, tmp_path):
     df = spark.createDataFrame([(True, "call 01234567890"), (False, "x")], "ok boolean, note string")
     R.append_published(df, "ok", str(tmp_path / "p"), str(tmp_path / "f"))
