@@ -2,10 +2,10 @@
 centroids per language, by cosine, with rejection by distance.
 
 Document frequencies are counted over all rows that may be learnt from. Centroids come from a
-bounded sample of them, ``sample`` rows of a language in expectation, each language's clustered in
-one task. The least similarities, below which texts are rejected, are taken over all rows again.
-Model and statistics are all that leaves the executors: a vector of ``DIMENSIONS``
-numbers per centroid, whatever the size of the corpus.
+bounded sample of them, ``sample`` different texts of a language in expectation, each language's
+clustered in one task. The similarities below which texts are rejected come from all rows again: a low
+quantile per language and length. Model and statistics are all that leaves the executors: a vector of
+``DIMENSIONS`` numbers per centroid, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -17,15 +17,21 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from modspark.llm.base import pieces, remainder
 
 DIMENSIONS = 1 << 13
-#: Centroids per language, rounds of clustering, and sampled rows per language (expected).
+#: Centroids per language, rounds of clustering, and sampled texts per language (expected).
 CLUSTERS, ROUNDS, SAMPLE = 4, 8, 800
-#: A text is rejected below this share of the least similarity seen at its length among all rows learnt from.
-SLACK = 0.5
+#: Share of a language's sample that is set aside as freaks, and least share of a cluster.
+FREAKS = 0.05
+#: A text is rejected below SLACK times the similarity that all but a share STRAY of the rows learnt from
+#: reach at its length (all of them where they are fewer than 1 / STRAY). So of these rows fewer than STRAY go.
+STRAY, SLACK = 0.0005, 0.9
+#: Steps in which similarities are counted.
+STEPS = 400
 #: Length classes, and texts from which the bound of a class stands on its own.
 CLASSES, FEW = 32, 30
 UNKNOWN = "und"
@@ -53,7 +59,7 @@ def counts(texts: list[str | None]) -> np.ndarray:
     codes = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(texts)), [len(s) for s in spelled])
     letter = _letters()[codes]
-    keep = letter | np.concatenate([[True], letter[:-1]])
+    keep = letter | np.concatenate([[True], letter[:-1] | (owner[1:] != owner[:-1])])
     codes, owner, letter = np.where(letter, codes, np.uint32(32))[keep], owner[keep], letter[keep]
     spots = []
     for n in (2, 3):
@@ -76,21 +82,27 @@ def vectors(raw: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def cluster(points: np.ndarray, k: int) -> np.ndarray:
-    """Spherical k-means from spread-out starts; fewer centroids where points are fewer or alike."""
-    first = points.mean(axis=0)
-    chosen = [int(np.argmax(points @ first))]
-    while len(chosen) < min(k, len(points)):
-        nearest = (points @ points[chosen].T).max(axis=1)
-        if nearest.min() > 0.999:
-            break
-        # Not the farthest point, which is often a freak, but one at the far tenth.
-        chosen.append(int(np.argsort(nearest, kind="stable")[len(points) // 10]))
-    centres = points[chosen]
+    """Spherical k-means from slabs along the widest direction; fewer centroids where points are fewer or alike.
+
+    The share FREAKS of the points farthest from their mean is set aside first, and clusters of a
+    smaller share go: a few texts of another language under a wrong label make no centroid.
+    """
+    order = np.argsort(points @ points.mean(axis=0), kind="stable")
+    points = points[np.sort(order[int(FREAKS * len(points)):])]
+    middle = points.mean(axis=0)
+    way = points[0] - middle
+    for _ in range(ROUNDS):  # the direction in which points differ most
+        way = (points @ way - middle @ way) @ points
+        way = way / (np.linalg.norm(way) or 1)
+    slabs = np.array_split(np.argsort(points @ way, kind="stable"), min(k, len(points)))
+    centres = np.stack([points[i].mean(axis=0) for i in slabs])
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
     for _ in range(ROUNDS):
         near = np.argmax(points @ centres.T, axis=1)
         sums = np.stack([points[near == c].sum(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
         centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-    return centres
+    held = np.bincount(np.argmax(points @ centres.T, axis=1), minlength=len(centres))
+    return centres[held >= max(1, FREAKS * len(points))]
 
 
 def _length_class(raw: np.ndarray) -> np.ndarray:
@@ -101,7 +113,7 @@ def _length_class(raw: np.ndarray) -> np.ndarray:
 class Model:
     idf: np.ndarray
     langs: tuple[str, ...]
-    #: Rows of centroids, the language of each, and least similarity per language and length class.
+    #: Rows of centroids, the language of each, and low quantile of similarity per language and length class.
     centroids: np.ndarray
     owners: np.ndarray
     least: np.ndarray
@@ -158,7 +170,7 @@ def _centroids(idf: np.ndarray, clusters: int):
 
 
 def bounds(least: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Bounds per language and length class from the least similarities and the numbers of texts.
+    """Bounds per language and length class from the low quantiles and the numbers of texts.
 
     A class of fewer than FEW texts takes the next shorter one's bound if that is lower or it has no
     text at all; the first such classes take the language's least. Below all texts none is rejected.
@@ -173,24 +185,28 @@ def bounds(least: np.ndarray, seen: np.ndarray) -> np.ndarray:
 
 
 def _least(rows: DataFrame, model: Model) -> np.ndarray:
-    """The model's bounds, from all rows: least similarity of those nearest to a language, by length class."""
+    """The model's bounds, from all rows: low quantile of the similarities of those nearest to a language, by length class."""
     held = rows.sparkSession.sparkContext.broadcast(model)
+    shape = (len(model.langs), CLASSES, STEPS)
 
     def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least, seen = np.ones((len(held.value.langs), CLASSES)), np.zeros((len(held.value.langs), CLASSES), np.int64)
+        seen = np.zeros(shape, np.int64)
         for batch in pieces(batches, "text", BYTES, ROWS):
             lang, score, size, empty = held.value.nearest(batch.column("text").to_pylist())
-            np.minimum.at(least, (lang[~empty], size[~empty]), score[~empty])
-            np.add.at(seen, (lang[~empty], size[~empty]), 1)
-        at, size = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(size), pa.array(least[at, size]), pa.array(seen[at, size])], names=["lang", "size", "least", "n"])
+            at = np.minimum((score * STEPS).astype(np.int64), STEPS - 1)
+            np.add.at(seen, (lang[~empty], size[~empty], at[~empty]), 1)
+        spots = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, spots), pa.array(seen[spots])], names=["lang", "size", "at", "n"])
 
+    kind = W.partitionBy("lang", "size")  # STEPS rows at most
     found = (
-        rows.select("text").mapInArrow(step, "lang bigint, size bigint, least double, n bigint").groupBy("lang", "size")
-        .agg(F.min("least").alias("least"), F.sum("n").alias("n")).collect())  # one row per language and class
-    least, seen = np.ones((len(model.langs), CLASSES)), np.zeros((len(model.langs), CLASSES), np.int64)
+        rows.select("text").mapInArrow(step, "lang bigint, size bigint, at bigint, n bigint").groupBy("lang", "size", "at").agg(F.sum("n").alias("n"))
+        .select("lang", "size", "at", F.sum("n").over(kind.orderBy("at")).alias("upto"), F.sum("n").over(kind).alias("total"))
+        .filter(F.col("upto") > F.floor(F.col("total") * STRAY))
+        .groupBy("lang", "size").agg(F.min("at").alias("at"), F.first("total").alias("total")).collect())  # one row per language and class
+    least, seen = np.ones(shape[:2]), np.zeros(shape[:2], np.int64)
     for r in found:
-        least[r.lang, r["size"]], seen[r.lang, r["size"]] = r.least, r.n
+        least[r.lang, r["size"]], seen[r.lang, r["size"]] = r["at"] / STEPS, r.total
     return bounds(least, seen)
 
 
@@ -199,11 +215,12 @@ def train(labelled: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     seen, n = _frequencies(rows)
     idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
-    # A seeded hash of the text decides, so copies of a text are in the sample together or not at all.
-    lot = F.shiftrightunsigned(F.xxhash64("text", F.lit("sample")), 11) * F.lit(2.0**-53)
+    # A seeded hash of the text decides; copies count once, however many there are.
+    sign = F.xxhash64("text", F.lit("sample"))
+    sizes = rows.select("lang", sign.alias("__sign")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
+    lot = F.shiftrightunsigned(sign, 11) * F.lit(2.0**-53)
     # One row per language, as the model has: the texts need no shuffle to meet their count.
-    drawn = rows.join(F.broadcast(sizes), "lang").filter(lot * F.col("__n") < sample).select("text", "lang")
+    drawn = rows.join(F.broadcast(sizes), "lang").filter(lot * F.col("__n") < sample).select("text", "lang").distinct()
     learnt = drawn.groupBy("lang").applyInArrow(_centroids(idf, clusters), "lang string, centroid array<float>").collect()
     learnt.sort(key=lambda r: (r.lang, r.centroid))
     langs = tuple(sorted({r.lang for r in learnt}))
@@ -234,7 +251,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Learns from rows outside the held-out fold (crc32 of the id modulo ``folds`` is ``held``; a null
     id counts as empty text) whose language is known. Texts that are null or have no letter are
     ``und`` with score 0 and rejected; so is every text if there is nothing to learn from. The score
-    is the cosine with the nearest centroid. Equal texts get equal answers.
+    is the cosine with the nearest centroid; ``rejected`` marks texts far from all of them (STRAY,
+    SLACK). Equal texts get equal answers.
     """
     out = remainder(F.col(id_col), folds) == held
     model = train(docs.filter(~out).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))

@@ -1,6 +1,7 @@
 """Language ID, piece lattice, token files, toxicity: held-out accuracy, exact round trips, distributions."""
 
 import collections
+import math
 import random
 import time
 import zlib
@@ -65,6 +66,89 @@ def test_no_document_learnt_from_is_rejected(spark):
     assert not known - kept and -1 not in kept
 
 
+@pytest.mark.parametrize("left", ["en", "fr", "de", "es"])
+def test_a_language_left_out_is_rejected(spark, left):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.train(docs.filter(F.col("lang") != left).select("text", "lang"))
+    rows = langid.predict(docs, model, {"own": F.col("lang") != left}).groupBy("own").agg(F.avg(F.col("rejected").cast("int")).alias("gone")).collect()
+    gone = {r.own: r.gone for r in rows}
+    assert gone[False] > 0.8 and gone[True] < 0.005
+
+
+def test_one_odd_row_does_not_open_a_length(spark):
+    words = "water river stone mountain forest winter summer garden window letter".split()
+    plain = [(" ".join(random.Random(i).choices(words, k=20)), "en") for i in range(4000)]
+    odd = ("zqx jvk wqz xkj " * 10, "en")
+    rows = spark.createDataFrame([*plain, odd], "text string, lang string")
+    assert langid.train(rows, sample=400).predict([odd[0], plain[0][0], "kzv qwj xxz vvk " * 10])[2].tolist() == [True, False, True]
+
+
+def test_copies_count_once_in_the_sample(spark):
+    rows = spark.createDataFrame([(f"some text number {chr(97 + i % 26)}{chr(97 + i // 26)}", "en") for i in range(300)], "text string, lang string")
+    copies = spark.range(3000).select(F.lit("una frase que se repite").alias("text"), F.lit("en").alias("lang"))
+    heavy = langid.train(rows.unionByName(copies))
+    assert heavy.predict(["una frase que se repite"])[1][0] < 0.5  # one text among many, not a centroid of its own
+    assert heavy.predict(["some text number"])[1][0] > 0.5
+
+
+def plain_vectors(texts, idf=None):
+    """TF-IDF vectors by loops over letters; a dictionary per text."""
+    def spots(text):
+        letters = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+        letters = [c for i, c in enumerate(letters) if i == 0 or not (c == " " and letters[i - 1] == " ")]
+        found = collections.Counter()
+        for n in (2, 3):
+            for i in range(len(letters) - n + 1):
+                if any(c != " " for c in letters[i:i + n]):
+                    h = n
+                    for c in letters[i:i + n]:
+                        h = ((h ^ ord(c)) * 0x9E3779B1) % 2**32
+                        h ^= h >> 15
+                    found[h >> 19] += 1
+        return found
+    counted = [spots(t) for t in texts]
+    if idf is None:
+        seen = collections.Counter(s for c in counted for s in c)
+        idf = {s: math.log((1 + len(texts)) / (1 + n)) + 1 for s, n in seen.items()}
+        idf[None] = math.log(1 + len(texts)) + 1
+    rows = []
+    for c in counted:
+        v = np.zeros(langid.DIMENSIONS)
+        for s, n in c.items():
+            v[s] = math.sqrt(n) * idf.get(s, idf[None])
+        rows.append(v / (np.linalg.norm(v) or 1))
+    return np.array(rows), idf
+
+
+def test_counts_do_not_hang_on_the_place_in_a_batch():
+    texts = ["the sea", "...the sea", None, "the sea", "!", "a"]
+    together = langid.counts(texts)
+    assert all((together[i] == langid.counts([t])[0]).all() for i, t in enumerate(texts))
+    assert (together[0] == together[1]).all() and not together[4].any()
+
+
+def test_language_against_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text", "lang").collect())
+    learnt = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and r.text is not None]
+    _, idf = plain_vectors([r.text for r in learnt])
+    centres, owners = [], []
+    for lang in sorted({r.lang for r in learnt}):
+        texts = sorted({r.text for r in learnt if r.lang == lang and any(c.isalpha() for c in r.text)})
+        mine, _ = plain_vectors(texts, idf=idf)
+        made = langid.cluster(mine.astype(np.float32), langid.CLUSTERS)
+        centres, owners = [*centres, *made], [*owners, *[lang] * len(made)]
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        like = np.array(centres) @ plain_vectors([r.text], idf=idf)[0][0]
+        assert got[r.doc_id].score == pytest.approx(like.max(), abs=1e-4)
+        assert got[r.doc_id].lang_pred in {o for o, x in zip(owners, like) if x > like.max() - 1e-4}
+
+
 def test_bounds_of_rare_lengths():
     least, seen = np.ones((1, 8)), np.zeros((1, 8), np.int64)
     least[0, [2, 3, 5, 7]], seen[0, [2, 3, 5, 7]] = [0.3, 0.4, 0.95, 0.2], [1, 500, 3, 2]
