@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modspark.durable import run_dir
 from modspark.functions import distance as D
 from modspark.functions import text as T
 from modspark.functions.register import register
@@ -13,6 +14,7 @@ from modspark.operators import phrases as P
 from modspark.operators import rules as R
 from modspark.operators import term_table as TT
 from modspark.operators import verdict as V
+from modspark.operators import verdict_store as VS
 
 KEY = b"demo master key, never a real one"
 FUZZY_TERMS = ("idiot", "moron", "clown", "loser", "worthless", "pathetic", "disgusting")
@@ -156,6 +158,19 @@ def verdict_reuse(spark, sf):
     return out.select("doc_id", "verdict.action", "verdict.category", "verdict.rule_id", "verdict.item")
 
 
+def verdict_store(spark, sf):
+    """V2 over runs: the benchmark after the documents, then the benchmark under a policy nobody used yet."""
+    folder, lex = run_dir(spark, "verdicts"), V.lexicon_from(spark)
+    docs, items = documents(spark, sf), table(spark, sf, "benchmark")
+    VS.moderate_kept(docs, "doc_id", "text", lex, folder)
+    both = docs.select(F.concat(F.lit("d/"), "doc_id").alias("id"), "text").unionByName(items.select(F.concat(F.lit("b/"), "item_id").alias("id"), "text"))
+    again = VS.moderate_kept(both, "id", "text", lex, folder)
+    other = VS.moderate_kept(items.select(F.concat(F.lit("b/"), "item_id").alias("id"), "text"), "id", "text", lex, folder,
+                             disabled=V.disabled_categories(profanity=False, bullying=False), allow_links=True)
+    made = again.withColumn("policy", F.lit("strict")).unionByName(other.withColumn("policy", F.lit("open")))
+    return made.select("policy", "id", "verdict.action", "verdict.category", "verdict.rule_id", "verdict.item", "reused")
+
+
 def moderation_eval(spark, sf):
     docs = texts(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
     judged = V.moderate(docs.select("doc_id", "text", "lang", "toxic"), "doc_id", "text", V.lexicon_from(spark))
@@ -254,5 +269,5 @@ def publish_gate(spark, sf):
 QUERIES = {f.__name__: f for f in (
     moderate_documents, normalize_bundle, char_ngrams, content_fingerprint, escaped_cards, redact_text, link_scan, pii_scan,
     phrase_hits, lexicon_hits, table_lexicon, disguised_words, custom_terms, profanity_test, moderate_open_links, moderate_fuzzy,
-    verdict_reuse, moderation_eval, noisy_recall, fuzzy_tokens, fuzzy_tokens_long, word_distances, signal_fusion,
+    verdict_reuse, verdict_store, moderation_eval, noisy_recall, fuzzy_tokens, fuzzy_tokens_long, word_distances, signal_fusion,
     signal_reasons, policy_filter, envelope_verdicts, publish_gate, sql_functions)}

@@ -188,6 +188,7 @@ def hits(lexicon: str | None = None, links: bool = True) -> str:
 
 
 DOCS = "select doc_id as k, text as raw from documents"
+ITEMS = "select 'b/' || item_id as k, text as raw from benchmark"
 
 
 def verdicts(source: str = DOCS, off: tuple[str, ...] = (), links: bool = True, lexicon: str | None = None) -> str:
@@ -343,6 +344,12 @@ SQL = {
     "moderate_open_links": f"""with {complete(off=('profanity', 'insult', 'bullying'), links=False)}
       select k as doc_id, action, category, rule_id from complete""",
     "verdict_reuse": f"with {complete()} select k as doc_id, action, category, rule_id, item from complete",
+    "verdict_store": f"""select 'strict' as policy, k as id, action, category, rule_id, item, r.reused
+      from (with {complete(f"select 'd/' || doc_id as k, text as raw from documents union all {ITEMS}")} select * from complete) c
+      join (select 'd/' || doc_id as k, true as reused from documents union all select 'b/' || item_id, exists (
+        select 1 from documents d where coalesce(d.text, '') = coalesce(b.text, '')) from benchmark b) r using (k)
+      union all select 'open', k, action, category, rule_id, item, false
+      from (with {complete(ITEMS, off=('profanity', 'insult', 'bullying'), links=False)} select * from complete)""",
     "moderation_eval": f"""with {complete()}, e as (select d.lang, l.toxic = 1 as want, not v.is_allowed as got from documents d
       join labels l using (doc_id) join complete v on v.k = d.doc_id), g as (select lang, count(*) as n, count(*) filter (want and got) as tp,
       count(*) filter (not want and got) as fp, count(*) filter (want and not got) as fn, count(*) filter (not want and not got) as tn from e group by lang)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from modspark.operators import lexicon as L
 from modspark.operators import rules as R
 from modspark.operators import verdict as V
+from modspark.operators import verdict_store as VS
 from modspark.sources.tables import read_corpus
 
 
@@ -92,6 +93,27 @@ def test_copies_share_one_verdict(spark, lex):
     assert out.count() == 504 and out.where("not verdict.is_allowed").count() == 500
 
 
+def test_verdicts_are_kept_over_runs(spark, lex, tmp_path):
+    folder, hour = str(tmp_path / "store"), 3600 * 10**6
+    schema = "id int, text string, sha string"
+    first = spark.createDataFrame([(1, "scum", "x"), (1, "fine", "x"), (None, None, "x")], schema)
+    later = spark.createDataFrame([(2, "scum", "x"), (3, "", "x"), (4, "you moron", "x"), (None, "you moron", "x")], schema)
+
+    def answers(df, now, **options):
+        out = VS.moderate_kept(df, "id", "text", lex, folder, now, ttl=10 * hour, **options).collect()
+        return sorted((str(r.id), r.verdict.is_allowed, r.reused) for r in out)
+
+    assert answers(first, hour) == [("1", False, False), ("1", True, False), ("None", True, False)]
+    assert answers(later, 2 * hour) == [("2", False, True), ("3", True, True), ("4", False, False), ("None", False, False)]
+    assert all(reused for _, _, reused in answers(later, 3 * hour))
+    # What was judged in the first hour has expired, what came an hour later has not.
+    assert answers(later, 11 * hour) == [("2", False, False), ("3", True, False), ("4", False, True), ("None", False, True)]
+    # Another policy shares nothing.
+    assert not any(reused for _, _, reused in answers(later, 3 * hour, allow_links=True))
+    assert answers(later.limit(0), 3 * hour) == []
+    assert VS.policy_digest(lex) != VS.policy_digest(lex, allow_links=True)
+
+
 def test_links_and_details(spark):
     df = spark.createDataFrame([("go to www.x.com",), ("t.me/abc",), ("@abcd",), ("nothing. here",), ("1234 567 8901",), ("12 34",)], "t string")
     rows = df.select(R.has_plain_link(F.col("t")).alias("a"), R.first_link(F.col("t")).alias("b"), R.first_phone(F.col("t")).alias("c")).collect()
