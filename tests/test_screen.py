@@ -49,3 +49,33 @@ def test_every_hit_is_suspected(spark, monkeypatch):
 def test_clean_texts_are_spared(spark):
     df = spark.createDataFrame([(t,) for t in CLEAN], "text string")
     assert [r.bits for r in df.select(S.suspicion(F.col("text"), V.lexicon_from(spark)).alias("bits")).collect()] == [0] * len(CLEAN)
+
+
+def test_letters_tell_no_near_word_away(spark):
+    """Words one or two edits from a term, in any reading, pass both letter tests; most others do not."""
+    import pyarrow as pa
+
+    rng, terms = random.Random(3), ["moron", "worthless", "disgusting"]
+    words = []
+    for _ in range(3000):
+        word = list(rng.choice(terms))
+        for _ in range(1 if len(word) <= 6 else 2):
+            i, way = rng.randrange(len(word) - 1), rng.randrange(4)
+            word[i:i + 2] = ([word[i + 1], word[i]], [rng.choice("abzq1é"), word[i + 1]], [word[i + 1]], [word[i], rng.choice("xyz7ß"), word[i + 1]])[way]
+        words.append("".join(word))
+    assert S.near_words(terms)(pa.array(words)).all() and S.near_letters(terms)(pa.array(words)).all()
+    leet = [w.replace("o", "0").replace("i", "!").replace("s", "$") for w in words] + ["“mоron”", "ｍｏｒｏｎ", "x/moron/y"]
+    assert S.near_letters(terms)(pa.array(leet)).all()
+    assert not S.near_words(terms)(pa.array(["afternoon", "river", "moronically"])).any()
+    assert not S.near_letters(terms)(pa.array(["quiet", "back"])).any()
+
+
+def test_fuzzy_words_come_from_a_vocabulary(spark):
+    """Signs, line breaks and look-alikes around and in a word; the text's first match counts."""
+    texts = ["so wortless!\nand clwon", "(clwon) wortless", "a “pathétic pathetc” thing", "nothing here", "раthetik", None, "", "   ", "wo​rtless", "m clwon"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    lex = V.lexicon_from(spark)
+    mark = F.sha2(F.coalesce("text", F.lit("")), 256).alias("mark")
+    whole = V.fuzzy_layer(T.with_bundle(df.select(mark, "text")).select("mark", "tokens"), "mark", lex)
+    got = {r.mark: r.near_hit for r in V.fuzzy_hits(df, "text", lex).collect()}
+    assert len(got) >= 5 and got == {r.mark: r.hit for r in whole.collect()}
