@@ -79,3 +79,12 @@ def test_fuzzy_words_come_from_a_vocabulary(spark):
     whole = V.fuzzy_layer(T.with_bundle(df.select(mark, "text")).select("mark", "tokens"), "mark", lex)
     got = {r.mark: r.near_hit for r in V.fuzzy_hits(df, "text", lex).collect()}
     assert len(got) >= 5 and got == {r.mark: r.hit for r in whole.collect()}
+
+
+def test_compact_keeps_the_same_letters(spark):
+    """By code point: ASCII letters and digits and the Arabic block stay, all else goes."""
+    points = [*range(1, 0x800), 0x2014, 0x4E00, 0xFFFD, 0x1F600]
+    df = spark.createDataFrame([(p, f"a{chr(p)}ع") for p in points], "p int, t string")
+    for r in df.select("p", T.compact(F.col("t")).alias("c")).collect():
+        stays = (r.p < 128 and chr(r.p).isalnum()) or 0x600 <= r.p <= 0x6FF
+        assert r.c == f"a{chr(r.p) if stays else ''}ع", hex(r.p)
