@@ -39,21 +39,35 @@ def whois(queries: DataFrame, posts: DataFrame, replies: DataFrame, students: Da
                          F.when(F.col("author").isNotNull(), F.col("kind")).when(F.col("self").isNotNull(), "student").alias("found_as"))
 
 
+#: Up to SMALL ids Spark broadcasts by itself; of more, a task may keep HELD in a hash table (some 100 bytes each).
+SMALL, HELD = 500_000, 2_000_000
+
+
+def _known(rows: DataFrame, owners: DataFrame, id_column: str, key: str) -> DataFrame:
+    """Ids of ``owners``, one row each, named ``key``, to be looked up by ``rows`` (right side of a join).  Where rows are the
+    bulk the ids are hashed and the rows pass by, as a sort would hold all rows of a task.  Otherwise Spark sorts, which spills."""
+    ids = owners.select(F.col(id_column).alias(key)).distinct()
+    if rows.isStreaming or owners.isStreaming or (n := owners.count()) <= SMALL:
+        return ids
+    held = HELD * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Partitions are merged up to a size in bytes, so the share of the ids in them has to be small as well.
+    return ids.hint("shuffle_hash") if n <= held and 2 * n <= rows.count() else ids
+
+
 def with_parent(replies: DataFrame, messages: DataFrame, parent: str, keep: bool = True) -> DataFrame:
     """Replies whose parent exists (or, with ``keep=False``, those rejected)."""
-    ids = messages.select(F.col("message_id").alias(parent)).distinct()
-    return replies.join(ids, parent, "left_semi" if keep else "left_anti")
+    return replies.join(_known(replies, messages, "message_id", parent), parent, "left_semi" if keep else "left_anti")
 
 
 def without_owner(messages: DataFrame, students: DataFrame) -> DataFrame:
     """Rows whose author does not exist; expected empty."""
-    return messages.join(students.select("anonymous_id"), "anonymous_id", "left_anti")
+    return messages.join(_known(messages, students, "anonymous_id", "anonymous_id"), "anonymous_id", "left_anti")
 
 
 def root_if_orphan(replies: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
     """A reply whose parent is gone is published as a root message."""
-    ids = parents.select(F.col("message_id").alias(parent)).distinct().withColumn("alive", F.lit(True))
-    return replies.join(ids, parent, "left").withColumn(
+    ids = _known(replies, parents, "message_id", parent)
+    return replies.join(ids.withColumn("alive", F.lit(True)), parent, "left").withColumn(
         parent, F.when(F.col("alive"), F.col(parent))).drop("alive")
 
 

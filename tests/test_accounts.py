@@ -100,6 +100,31 @@ def test_upserts(spark):
     assert kept == {"a": 1, "b": 2, "c": 3}
 
 
+def test_many_rows_are_looked_up_without_a_sort(spark):
+    """Sorted, a task would hold all its rows; hashed, it holds the ids."""
+    n = 600_000
+    ids = spark.range(n).select((F.col("id") * 2).alias("message_id"))
+    ids = ids.union(ids.limit(5)).union(spark.createDataFrame([(None,)], "message_id bigint"))  # repeated and null ids
+    rows = spark.range(2 * n + 1000).select(F.when(F.col("id") % 1000 != 0, F.col("id")).alias("parent"), F.col("id").alias("asked"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {"kept": G.with_parent(rows, ids, "parent"), "rejected": G.with_parent(rows, ids, "parent", keep=False), "all": G.root_if_orphan(rows, ids, "parent"),
+                 "unowned": G.without_owner(rows.withColumnRenamed("parent", "anonymous_id"), ids.withColumnRenamed("message_id", "anonymous_id"))}
+        plans = {k: df._jdf.queryExecution().executedPlan().toString() for k, df in found.items()}
+        few = G.with_parent(rows.limit(100), ids, "parent")._jdf.queryExecution().executedPlan().toString()
+        # (id, or null every 1000th) is known when even and below 2n
+        even = n - n // 500
+        assert {k: df.count() for k, df in found.items()} == {"kept": even, "rejected": 2 * n + 1000 - even, "all": 2 * n + 1000, "unowned": 2 * n + 1000 - even}
+        assert found["kept"].where("parent is null or parent != asked or parent % 2 = 1").isEmpty()
+        assert found["rejected"].where(f"parent % 2 = 0 and parent < {2 * n}").isEmpty()
+        assert found["all"].where("parent is not null").count() == even and found["all"].where("parent != asked").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert all("ShuffledHashJoin" in p and "Sort" not in p.replace("SortOrder", "") for p in plans.values())
+    assert "SortMergeJoin" in few  # ids that outnumber the rows are not held in memory
+
+
 def test_roles(spark):
     roles = spark.createDataFrame([(1, 2, "moderator"), (1, 0, "primary_admin"), (2, 1, "moderator")], "u int, priority int, role string")
     users = O.with_role(spark.createDataFrame([(1,), (2,), (3,)], "u int"), roles, "u")
